@@ -78,15 +78,18 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa
 class Words:
     """Words of a block: ``h`` 64-bit hashes, ``ptr[i]:ptr[i+1]`` the words of row i."""
 
-    __slots__ = ("h", "ptr", "starts", "ends")
+    __slots__ = ("h", "ptr", "starts", "ends", "stems")
 
-    def __init__(self, arr: pa.Array, lower: bool = True, table: np.ndarray = _WORD):
+    def __init__(self, arr: pa.Array, lower: bool = True, table: np.ndarray = _WORD, stems: tuple[int, ...] = ()):
+        """``stems``: lengths in bytes of word beginnings to hash too; a word no longer than that has 0."""
+        self.stems: dict[int, np.ndarray] = {}
         data, off = raw(pc.utf8_lower(arr) if lower else arr)
         n = len(data)
         if n == 0:
             self.h = np.zeros(0, U)
             self.starts = self.ends = np.zeros(0, np.int64)
             self.ptr = np.zeros(len(off), np.int64)
+            self.stems = {k: self.h for k in stems}
             return
         flag = np.zeros(n + 1, np.int8)
         flag[:n] = table[data]
@@ -103,6 +106,11 @@ class Words:
         size = (self.ends - self.starts).astype(U)
         self.h = mix((total[self.ends] - total[self.starts]) * _powers(_INV, n)[self.starts] + size * U(0xD6E8FEB86659FD93))
         self.ptr = np.searchsorted(self.starts, off)
+        for k in stems:
+            longer = np.flatnonzero(size > k)
+            at = self.starts[longer]
+            self.stems[k] = np.zeros(len(size), U)
+            self.stems[k][longer] = mix((total[at + k] - total[at]) * _powers(_INV, n)[at] + U(k * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)) | U(1)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``n`` words inside a row and the row pointer; a row of 1 to n-1
