@@ -133,26 +133,35 @@ def components(edges: DataFrame, label: str = "components", alone: int = 2_000_0
 
 
 def candidates(reps: DataFrame, t: float, hot: int) -> DataFrame:
-    """Pairs (a, b), a < b, of (id, size, cells) rows that share two cells and pass the size window."""
+    """Pairs (a, b), a < b, of (id, size, cells) rows that pass the size window and share as many cells as
+    similarity ``t`` makes all but certain (4.3 standard deviations, and two at least)."""
     # one shuffle by cell serves the counts and the lists of the cells that aren't full
     post = reps.select("id", "size", F.posexplode("cells").alias("rank", "g"))
     n = "count(1) OVER (PARTITION BY g)"
-    held = written(post.selectExpr("g", "id", "size", "rank", f"{n} AS n").where("n > 1"), "cells")
+    held = written(post.selectExpr("g", "id", "size", f"{n} AS n").where("n > 1"), "cells")
     cold = held.where(F.col("n") <= hot).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("id", "size"))).alias("m"))
     pairs = cold.selectExpr(f"""explode(flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)),
         y -> y.id > x.id AND least(x.size, y.size) >= {t} * greatest(x.size, y.size)), y -> struct(x.id AS a, y.id AS b))))) AS p""").select("p.a", "p.b")
     full = held.where(F.col("n") > hot)
-    sunk = full.join(reps.select("id", F.size("cells").alias("k")), "id").groupBy("id").agg(F.count(F.lit(1)).alias("h"), F.first("k").alias("k")).where("2 * h >= k").select("id")
-    again = written(full.join(sunk, "id", "left_semi").selectExpr("g", "id", "size", f"{n} AS n").where("n > 1"), "full-cells")
+    # of each document: cells in its window, those not full, and whether most are full
+    about = reps.select("id", F.size("cells").alias("k")).join(full.groupBy("id").agg(F.count(F.lit(1)).alias("h")), "id", "left").selectExpr("id", "k", "k - coalesce(h, 0) AS c", "2 * coalesce(h, 0) >= k AS sunk")
+    again = written(full.join(about.where("sunk").select("id"), "id", "left_semi").selectExpr("g", "id", "size", f"{n} AS n").where("n > 1"), "full-cells")
     # a cell of n documents is joined in ceil(n / BLOCK) blocks
     left = again.selectExpr("g", "id AS a", "size AS sa", f"pmod(hash(id), ceil(n / {BLOCK})) AS block")
     right = again.selectExpr("g", "id AS b", "size AS sb", f"explode(sequence(0, ceil(n / {BLOCK}) - 1)) AS block")
     deep = left.join(right, ["g", "block"]).where(f"a < b AND least(sa, sb) >= {t} * greatest(sa, sb)").select("a", "b")
-    return pairs.unionAll(deep).groupBy("a", "b").count().where("count > 1").select("a", "b")
+    met = pairs.unionAll(deep).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s")).where("s > 1")
+    for side in ("a", "b"):
+        met = met.join(about.selectExpr(f"id AS {side}", f"k AS k{side}", f"c AS c{side}", f"sunk AS sunk{side}"), side)
+    # cells that are full were compared only if both are sunk: m cells were compared, and of those left out
+    # at most the share ``out`` of the window can have been in common
+    met = met.selectExpr("a", "b", "s", "if(sunka AND sunkb, least(ka, kb), least(ca, cb)) AS m", "if(sunka AND sunkb, 0.0D, least(1 - ca / ka, 1 - cb / kb) + 0.05D) AS out")
+    met = met.selectExpr("a", "b", "s", "m", f"greatest(0.0D, ({t} - out) / (1 - out)) AS j")
+    return met.where("s >= floor(m * j - 4.3D * sqrt(m * j * (1 - j)))").select("a", "b")
 
 
 def _verify(t: float):
-    def run(key, pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         at = {i: np.frombuffer(s, np.uint64) for i, s in zip(docs["id"], docs["grams"])}
         out = []
         for a, part in pairs.groupby("a"):
