@@ -2,12 +2,14 @@
 
 Voters.  Lexicon and pattern voters each say toxic (+1), clean (-1) or nothing (0) on a document.  The
 lexicons are built in for English; for any language, stems are mined from a bounded labelled sample:
-word beginnings under which many different words occur, all but only in toxic rows.
+word beginnings under which many different words occur, all but only in toxic rows (strong stems), or mostly
+so (weak stems, which count by their density).
 
 Label model.  The vote patterns of all documents are counted.  A generative model with a hidden class is
 fitted to the counts by expectation maximisation: each voter's conditional vote table gives its
 accuracy; voters that stay correlated given the class are joined into cliques with a
-joint table, and the model is fitted again.
+joint table, and the model is fitted again.  A share ``ANCHOR`` of each posterior stays the majority vote, so that the
+hidden class cannot drift to some other split of the corpus, such as long and short texts.
 
 Classifier.  Documents sampled by hash, ``sample`` of either posterior label at most, train a linear hinge-loss
 classifier on words, stems and votes; it then scores every document.
@@ -32,14 +34,17 @@ from weftline.llm.quality import sampled
 from weftline.llm.store import written
 
 SAMPLE = 3000
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+FEATURE_STEMS = (5,)
+STRONG, WEAK = (12, 0.98), (6, 0.9)
+ANCHOR = 0.3
 BITS = 18
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash clown clowns worthless pathetic disgusting imbecile imbeciles dumbass jerk jerks creep freak retard retarded vermin lowlife scumbag pig filth filthy ugly disgrace degenerate braindead".split()
 PROFANITY = "fuck fucking fucked fucker motherfucker shit shitty bullshit bitch bitches bastard bastards asshole arsehole cunt dick dickhead prick whore slut wanker twat piss damn crap".split()
-THREATS = ["kill you", "kill yourself", "hurt you", "shut up", "die in", "go die", "hang yourself", "beat you", "hate you", "destroy you"]
+THREATS = ["kill you", "kill yourself", "hurt you", "shut up", "go die", "hang yourself", "beat you", "hate you", "destroy you"]
 ADDRESS = "you youre your ur ya these those such".split()
 COURTESY = ["thank you", "thanks for", "please note", "kind regards", "best regards", "we appreciate", "you re welcome"]
-VOTERS = ("insult", "insults", "profanity", "threat", "address", "stem", "stems", "density", "clean_words", "clean_long", "courtesy")
+VOTERS = ("insult", "insults", "profanity", "threat", "address", "stem", "stems", "weak_density", "density", "clean_words", "courtesy")
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -63,10 +68,9 @@ def _per_row(flag: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return total[ptr[1:]] - total[ptr[:-1]]
 
 
-def mine(rows: list[tuple[int, str, int]], least: int = 6, purity: float = 0.95) -> dict[int, np.ndarray]:
-    """Per stem length, the stems under which at least ``least`` different words occur in toxic rows and
-    whose occurrences by row are toxic to ``purity``."""
-    out = {}
+def mine(rows: list[tuple[int, str, int]], levels: tuple[tuple[int, float], ...] = (STRONG, WEAK)) -> list[dict[int, np.ndarray]]:
+    """For each level (least, purity), by stem length, the stems under which at least ``least`` different words
+    occur in toxic rows and whose occurrences by row are toxic to ``purity``."""
     seen: dict[int, dict[int, list]] = {k: defaultdict(lambda: [set(), 0, 0]) for k in STEMS}
     texts = as_string(pa.array([r[1] for r in rows], pa.string()))
     at = 0
@@ -85,17 +89,18 @@ def mine(rows: list[tuple[int, str, int]], least: int = 6, purity: float = 0.95)
                     for stem, word in pair.tolist():
                         seen[k][stem][0].add(word)
         at += len(arr)
-    for k in STEMS:
-        good = [s for s, (words, clean, toxic) in seen[k].items() if len(words) >= least and toxic / sides[1] >= purity * (toxic / sides[1] + clean / sides[0])]
-        out[k] = np.array(sorted(good), dtype=U)
+    out = []
+    for least, purity in levels:
+        good = {k: [t for t, (words, clean, toxic) in seen[k].items() if len(words) >= least and toxic / sides[1] >= purity * (toxic / sides[1] + clean / sides[0])] for k in STEMS}
+        out.append({k: np.array(sorted(g), dtype=U) for k, g in good.items()})
     return out
 
 
 class Voters:
     """The voters over a block of texts; picklable."""
 
-    def __init__(self, stems: dict[int, np.ndarray]):
-        self.stems = stems
+    def __init__(self, stems: list[dict[int, np.ndarray]]):
+        self.strong, self.weak = stems
         self.insult, self.profanity = word_hashes(INSULTS), word_hashes(PROFANITY)
         self.threat, self.courtesy, self.address = _pairs(THREATS), _pairs(COURTESY), word_hashes(ADDRESS)
 
@@ -104,14 +109,15 @@ class Voters:
         n = np.diff(w.ptr)
         insult = _in(w.h, self.insult)
         profane = _in(w.h, self.profanity)
-        stem = np.zeros(len(w.h), bool)
-        for k, known in self.stems.items():
-            stem |= _in(w.stems[k], known)
+        stem, weak = np.zeros(len(w.h), bool), np.zeros(len(w.h), bool)
+        for k in STEMS:
+            stem |= _in(w.stems[k], self.strong[k])
+            weak |= _in(w.stems[k], self.weak[k])
         grams, gptr = w.grams(2)
         you = _in(w.h, self.address)
         aimed = (insult | profane | stem) & np.append(False, you[:-1])[: len(w.h)]
         bad = _per_row(insult | profane | stem, w.ptr)
-        ni, ns = _per_row(insult, w.ptr), _per_row(stem, w.ptr)
+        ni, ns, nw = _per_row(insult, w.ptr), _per_row(stem, w.ptr), _per_row(weak, w.ptr)
         votes = np.zeros((len(n), len(VOTERS)), np.int8)
         votes[:, 0] = ni > 0
         votes[:, 1] = ni > 1
@@ -120,9 +126,9 @@ class Voters:
         votes[:, 4] = _per_row(aimed, w.ptr) > 0
         votes[:, 5] = ns > 0
         votes[:, 6] = ns > 1
-        votes[:, 7] = (bad > 0) & (bad * 100 >= n)
-        votes[:, 8] = -(bad == 0).astype(np.int8)
-        votes[:, 9] = -((bad == 0) & (n >= 50)).astype(np.int8)
+        votes[:, 7] = (nw > 0) & (nw * 100 >= n)
+        votes[:, 8] = (bad > 0) & (bad * 100 >= n)
+        votes[:, 9] = -((bad == 0) & (nw < 2)).astype(np.int8)
         votes[:, 10] = -(_per_row(_in(grams, self.courtesy), gptr) > 0).astype(np.int8)
         return votes
 
@@ -151,9 +157,11 @@ class LabelModel:
         self.accuracy = np.array([self._accuracy(v) for v in range(votes.shape[1])])
 
     def _fit(self, post: np.ndarray, rounds: int, smooth: float) -> np.ndarray:
+        start = post
         keys = [np.unique(self.votes[:, list(c)], axis=0, return_inverse=True)[1].ravel() for c in self.cliques]
         for _ in range(rounds):
-            mass = np.stack([self.counts * (1 - post), self.counts * post])
+            held = (1 - ANCHOR) * post + ANCHOR * start
+            mass = np.stack([self.counts * (1 - held), self.counts * held])
             prior = (mass.sum(1) + smooth) / (mass.sum() + 2 * smooth)
             odds = np.log(prior[1]) - np.log(prior[0])
             log = np.full(len(post), odds)
@@ -205,7 +213,7 @@ def _features(w: Words, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(w.ptr) - 1
     row = np.repeat(np.arange(n), np.diff(w.ptr))
     keys = [(row << (BITS + 1)) | (w.h >> U(64 - BITS)).astype(np.int64)]
-    for k in STEMS:
+    for k in FEATURE_STEMS:
         some = w.stems[k] != 0
         keys.append((row[some] << (BITS + 1)) | ((w.stems[k][some] * U(2 * k + 1)) >> U(64 - BITS)).astype(np.int64))
     r, v = np.nonzero(votes)
