@@ -1,6 +1,7 @@
 """Quality classifier: a linear support-vector model over naive-Bayes-scaled n-gram indicators.
 
-Word uni- and bigrams (case kept) and runs of marks are hashed to ``2**bits`` indicators.  From
+Word uni- and bigrams (case kept) and runs of marks are hashed to ``2**bits`` indicators; shares of capitals, repeats
+and marks give a few more.  From
 the labelled sample the class log-count ratio r = log((p + a) / |p + a|) - log((q + a) / |q + a|) is taken,
 indicators are scaled by r, and a hinge-loss model is fitted by dual coordinate descent, both classes
 weighing the same.  Every document is then scored; ``keep`` is score > 0.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.features import dual_coordinate_descent, indicators, scores
+from weftline.llm.features import STYLES, dual_coordinate_descent, indicators, scores
 from weftline.llm.grams import as_string, blocks
 
 BITS = 18
@@ -44,20 +45,20 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> list
 
 def fit(rows: list[tuple[int, str, int]], bits: int = BITS, smooth: float = 1.0, cost: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights over indicators and bias, label 1 positive."""
-    dim = 1 << bits
+    dim = (1 << bits) + STYLES
     y = np.array([1.0 if r[2] else -1.0 for r in rows])
     if not len(y) or abs(y.sum()) == len(y):
         return np.zeros(dim), 0.0
     feats: list[np.ndarray] = []
     for _, arr in blocks(as_string(pa.array([r[1] for r in rows], pa.string()))):
-        index, ptr = indicators(arr, bits, case=True)
+        index, ptr = indicators(arr, bits)
         feats += [index[ptr[i] : ptr[i + 1]] for i in range(len(arr))]
     count = {s: np.full(dim, smooth) for s in (1.0, -1.0)}
     for f, s in zip(feats, y):
         count[s][f] += 1
     ratio = np.log(count[1.0] / count[1.0].sum()) - np.log(count[-1.0] / count[-1.0].sum())
     weight = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) * cost
-    return dual_coordinate_descent(feats, y, ratio, weight, dim)
+    return dual_coordinate_descent(feats, y, ratio, weight, dim, whole=1 << bits)
 
 
 def _scorer(weight: np.ndarray, bias: float, bits: int):
@@ -67,8 +68,8 @@ def _scorer(weight: np.ndarray, bias: float, bits: int):
         for batch in batches:
             out = [np.zeros(0)]
             for _, arr in blocks(batch.column(1)):
-                index, ptr = indicators(arr, bits, case=True)
-                out.append(scores(index, ptr, weight, bias))
+                index, ptr = indicators(arr, bits)
+                out.append(scores(index, ptr, weight, bias, 1 << bits))
             s = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array(s > 0)], names=["doc_id", "score", "keep"])
 

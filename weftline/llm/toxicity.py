@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.features import dual_coordinate_descent
+from weftline.llm.features import dual_coordinate_descent, per_row, scores
 from weftline.llm.grams import U, Words, as_string, blocks
 from weftline.llm.quality import sampled
 from weftline.llm.store import written
@@ -63,11 +63,6 @@ def _in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[k] == h
 
 
-def _per_row(flag: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    total = np.append(0, np.cumsum(flag, dtype=np.int64))
-    return total[ptr[1:]] - total[ptr[:-1]]
-
-
 def mine(rows: list[tuple[int, str, int]], levels: tuple[tuple[int, float], ...] = (STRONG, WEAK)) -> list[dict[int, np.ndarray]]:
     """For each level (least, purity), by stem length, the stems under which at least ``least`` different words
     occur in toxic rows and whose occurrences by row are toxic to ``purity``."""
@@ -116,20 +111,20 @@ class Voters:
         grams, gptr = w.grams(2)
         you = _in(w.h, self.address)
         aimed = (insult | profane | stem) & np.append(False, you[:-1])[: len(w.h)]
-        bad = _per_row(insult | profane | stem, w.ptr)
-        ni, ns, nw = _per_row(insult, w.ptr), _per_row(stem, w.ptr), _per_row(weak, w.ptr)
+        bad = per_row(insult | profane | stem, w.ptr)
+        ni, ns, nw = per_row(insult, w.ptr), per_row(stem, w.ptr), per_row(weak, w.ptr)
         votes = np.zeros((len(n), len(VOTERS)), np.int8)
         votes[:, 0] = ni > 0
         votes[:, 1] = ni > 1
-        votes[:, 2] = _per_row(profane, w.ptr) > 0
-        votes[:, 3] = _per_row(_in(grams, self.threat), gptr) > 0
-        votes[:, 4] = _per_row(aimed, w.ptr) > 0
+        votes[:, 2] = per_row(profane, w.ptr) > 0
+        votes[:, 3] = per_row(_in(grams, self.threat), gptr) > 0
+        votes[:, 4] = per_row(aimed, w.ptr) > 0
         votes[:, 5] = ns > 0
         votes[:, 6] = ns > 1
         votes[:, 7] = (nw > 0) & (nw * 100 >= n)
         votes[:, 8] = (bad > 0) & (bad * 100 >= n)
         votes[:, 9] = -((bad == 0) & (nw < 2)).astype(np.int8)
-        votes[:, 10] = -(_per_row(_in(grams, self.courtesy), gptr) > 0).astype(np.int8)
+        votes[:, 10] = -(per_row(_in(grams, self.courtesy), gptr) > 0).astype(np.int8)
         return votes
 
 
@@ -224,15 +219,6 @@ def _features(w: Words, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (key & ((1 << (BITS + 1)) - 1)).astype(np.int32), np.searchsorted(key, np.arange(n + 1) << (BITS + 1))
 
 
-def _score(index: np.ndarray, ptr: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
-    """Votes count in full, words and stems over the root of their number."""
-    vote = index >= 1 << BITS
-    words = np.append(0.0, np.cumsum(np.where(vote, 0.0, weight[index])))
-    votes = np.append(0.0, np.cumsum(np.where(vote, weight[index], 0.0)))
-    n = np.maximum(_per_row(~vote, ptr), 1)
-    return (words[ptr[1:]] - words[ptr[:-1]]) / np.sqrt(n) + votes[ptr[1:]] - votes[ptr[:-1]] + bias
-
-
 def _vote_task(voters: Voters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +239,7 @@ def _judge_task(voters: Voters, weight: np.ndarray, bias: float, posterior: dict
             for _, arr in blocks(batch.column(1)):
                 w = Words(arr, stems=STEMS)
                 votes = voters(w)
-                s.append(np.where(np.diff(w.ptr) > 0, _score(*_features(w, votes), weight, bias), -1.0))
+                s.append(np.where(np.diff(w.ptr) > 0, scores(*_features(w, votes), weight, bias, 1 << BITS), -1.0))
                 p.append(np.array([posterior[c] for c in encode(votes).tolist()]))
             score = np.concatenate(s)
             hit = np.flatnonzero(score > 0)
