@@ -114,7 +114,8 @@ def _rung(fn: Callable):
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
             rows = []
-            for args in zip(*cols):
+            # one column comes bare, more come as a tuple
+            for args in zip(*(cols if isinstance(cols, tuple) else (cols,))):
                 try:
                     r = fn(*args)
                 except Exception:  # one page never fails the batch
