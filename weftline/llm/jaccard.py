@@ -7,15 +7,16 @@ otherwise, so a document lies nearest to the n-grams it holds, and ties are brok
 hash.  The Voronoi cell of a document is that of its first n-gram in hash order.
 
 Windows.  By the triangle inequality on symmetric differences, whose Steinhaus transform is the
-Jaccard distance, a partner at similarity ``t`` may miss at most |x| - ceil(t|x|) of x's n-grams, so
-x is replicated to its next cells too: all that the bound asks for where that is at most ``window``
-cells, else the first ``window`` of them.  Two documents at similarity t or more whose windows are
-cut miss each other with probability at most (1 - t)^window (< 1e-10 for 48 cells at 0.6), hashes being
-uniform; ``window=None`` never cuts.  Distance to the empty set gives the size window
-min(|x|, |y|) >= t max(|x|, |y|).
-
-Recursion.  Cells of more than ``hot`` documents are left out at first; documents most of whose
-windows lie in such cells are joined again among themselves, inside these cells and in blocks.
+Jaccard distance, a partner at similarity ``t`` may miss at most |x| - ceil(t|x|) of x's n-grams.  So, in
+any fixed order of the cells, partners meet twice within their first |x| - ceil(t|x|) + 2 cells, and x is
+replicated to those.  The order is: cells of up to ``hot`` documents, then full ones, each by hash.  A
+document of at most ``window`` n-grams has all it needs at hand; of a longer one the first ``window`` by
+hash are looked at, and two such documents at similarity t miss each other with a probability below 1e-6,
+hashes being uniform.  ``window=None`` looks at all and never misses.  Distance to the empty set gives the
+size window min(|x|, |y|) >= t max(|x|, |y|).
+
+Recursion.  Full cells are left out at first; documents whose window reaches into them, or lies by half
+in them, are joined again among themselves, inside these cells and in blocks.
 The candidates fall into connected regions, and each region is verified exactly, on whole n-gram
 sets.  Documents with equal n-gram sets (distance 0) travel as one and are spread out at the end.
 
@@ -26,7 +27,6 @@ their text is the same, and never a pair with each other; an empty table gives n
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,14 +63,10 @@ def _sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array,
             yield batch.column(0).slice(base, len(arr)).take(pa.array(rows)), rows, sets
 
 
-def _signer(n: int, t: float, window: int | None):
+def _signer(n: int, window: int | None):
     def run(batches):
         for ids, _, sets in _sets(n, batches):
-            cells = []
-            for s in sets:
-                # one cell more than the bound, so that partners share two
-                need = len(s) - math.ceil(t * len(s) - 1e-9) + 2
-                cells.append(s[: need if window is None else window].view(np.int64))
+            cells = [s[:window].view(np.int64) for s in sets]
             off = np.append(0, np.cumsum([len(c) for c in cells])).astype(np.int32)
             flat = np.concatenate(cells) if cells else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -144,7 +140,7 @@ def candidates(reps: DataFrame, t: float, hot: int) -> DataFrame:
         y -> y.id > x.id AND least(x.size, y.size) >= {t} * greatest(x.size, y.size)), y -> struct(x.id AS a, y.id AS b))))) AS p""").select("p.a", "p.b")
     full = held.where(F.col("n") > hot)
     # of each document: cells in its window, those not full, and whether most are full
-    about = reps.select("id", F.size("cells").alias("k")).join(full.groupBy("id").agg(F.count(F.lit(1)).alias("h")), "id", "left").selectExpr("id", "k", "k - coalesce(h, 0) AS c", "2 * coalesce(h, 0) >= k AS sunk")
+    about = reps.select("id", "size", F.size("cells").alias("k")).join(full.groupBy("id").agg(F.count(F.lit(1)).alias("h")), "id", "left").selectExpr("id", "k", "k - coalesce(h, 0) AS c", f"2 * coalesce(h, 0) >= k OR size = k AND k - coalesce(h, 0) < size - ceil({t}D * size - 1e-9D) + 2 AND h > 0 AS sunk")
     again = written(full.join(about.where("sunk").select("id"), "id", "left_semi").selectExpr("g", "id", "size", f"{n} AS n").where("n > 1"), "full-cells")
     # a cell of n documents is joined in ceil(n / BLOCK) blocks
     left = again.selectExpr("g", "id AS a", "size AS sa", f"pmod(hash(id), ceil(n / {BLOCK})) AS block")
@@ -182,7 +178,7 @@ def _verify(t: float):
 def _joined(docs: DataFrame, n: int, t: float, window: int | None, hot: int) -> tuple[DataFrame, DataFrame]:
     """((id, rep) of every document, verified pairs (a, b, jaccard) of representatives)."""
     texts = _texts(docs)
-    signed = written(texts.mapInArrow(_signer(n, t, window), "id bigint, size int, fp binary, cells array<bigint>"), "signed")
+    signed = written(texts.mapInArrow(_signer(n, window), "id bigint, size int, fp binary, cells array<bigint>"), "signed")
     rep = signed.groupBy("fp").agg(F.min("id").alias("rep"))
     members = written(signed.select("id", "fp").distinct().join(rep, "fp").select("id", "rep"), "members")
     reps = signed.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["fp"]).select("id", "size", "cells")

@@ -5,7 +5,7 @@ words.  A sentence that is known carries an identifier; a document's identifiers
 against ordered rules, each a sequence of identifiers between which others may stand.  Of a licence's rules the
 longest that matches is reported.
 
-Every known sentence holds one of ``ANCHORS``, so only texts with an anchor are split.  The dictionary and the
+Every known sentence holds one of ``ANCHORS`` inside a word, so only texts with an anchor are split.  The dictionary and the
 rules are constants of this module, and are broadcast as such.
 
 Defined cases: null and empty texts have no licence; of rows that are equal in doc_id and text one is reported; a
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPLIT = r"[.!?]+(\s+|$)|\n"
-ANCHORS = ("licen", "permission", "warrant", "redistribut", "public domain", "spdx", "copyright", "liable", "cc by", "cc0", "creative commons")
+ANCHORS = ("licen", "permission", "warrant", "redistribut", "domain", "spdx", "gnu", "cc", "commons")
 
 _NAMES = {
     "MIT": ["mit license", "mit licence"],
