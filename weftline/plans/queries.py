@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import policy, signals, urls
 from weftline.operators import api, export, frontier, runs, shape
+from weftline.session import spread
 from weftline.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +30,8 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(table) if name == "pages" else table
 
 
 def _micros(name: str) -> Column:
