@@ -14,6 +14,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 FORMAT = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 BLOCK = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 SPECIAL = BLOCK | frozenset("applet body button caption col colgroup head html iframe marquee object select td template textarea th thead tbody tfoot title tr".split())
+_HEADS = frozenset(f"h{k}" for k in range(1, 7))
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th", "tbody", "thead"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}, "option": {"option"}}
 _FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
@@ -148,7 +149,7 @@ class _Builder(HTMLParser):
                     break
                 if node.tag in SPECIAL and node.tag not in ("div", "p", "address", "tbody", "thead", "tfoot"):
                     break
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag in _HEADS and self.stack[-1].tag in _HEADS:
             self.stack.pop()
         if tag == "a" and any(n.tag == "a" for n in self.open):
             self.handle_endtag("a")

@@ -16,11 +16,14 @@ GROUPS = [
 ]
 ALIASES = {k: g.split() for g in GROUPS for k in g.split()}
 _PREFIX = re.compile(r"^(article|book|music|og|product|twitter|video):")
-_FACE = ("name", "title", "@value", "value", "text", "url", "headline")
+_FACE = "name title @value value text url headline".split()
+_SCALAR = (bool, float, int, str)
+_ODD = re.compile("[^0-9a-z]+")
 
 
 def norm(key: str) -> str:
-    return re.sub(r"[^a-z0-9]", "", key.lower())
+    """The key in lower case, letters and digits only."""
+    return _ODD.sub("", key.lower())
 
 
 def names(field: str) -> list[str]:
@@ -31,7 +34,7 @@ def names(field: str) -> list[str]:
 
 def face(value: Any) -> Any:
     """The scalar that stands for a nested value."""
-    if isinstance(value, (str, int, float, bool)):
+    if isinstance(value, _SCALAR):
         return value
     if isinstance(value, list):
         return face(value[0]) if value else None
@@ -44,9 +47,10 @@ def flatten(obj: dict, out: dict, depth: int = 0) -> None:
     """Scalar leaves by normalised name; the first writer stays."""
     if depth > 3:
         return
-    for key, value in obj.items():
-        if key.startswith("@"):
+    for key in obj:
+        if key[:1] == "@":
             continue
+        value = obj[key]
         if isinstance(value, list):
             value = value[0] if value else None
         if (f := face(value)) is not None:
@@ -100,7 +104,7 @@ def times(root: Node) -> dict[str, str]:
     """The publication date of <time datetime>: one marked as such, else the first that isn't a modification."""
     first = marked = None
     for n in root.walk():
-        when = (n.attrs.get("datetime") or "").strip() if n.tag == "time" else ""
+        when = n.attrs.get("datetime", "").strip() if n.tag == "time" else ""
         if not when:
             continue
         ident = f"{n.attrs.get('itemprop', '')} {n.attrs.get('class', '')} {'pubdate' if 'pubdate' in n.attrs else ''}".lower()
@@ -144,7 +148,7 @@ def listed(field: str, objects: list[dict]) -> list | None:
                 return v
         items = obj.get("itemListElement")
         if isinstance(items, list) and items:
-            return [e.get("item", e) if isinstance(e, dict) else e for e in items]
+            return [e["item"] if isinstance(e, dict) and "item" in e else e for e in items]
     return None
 
 

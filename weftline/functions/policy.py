@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ipaddress
 import re
 from collections.abc import Iterator
@@ -16,14 +17,15 @@ from weftline.functions.lazy import arrow_udf
 
 # --- personal data.  Kinds overlap freely in a scan; redaction merges what overlaps.
 
+_L, _S = "a-z0-9_%+", "[ .-]"
 PII = {
-    "email": r"(?i)(?<![A-Za-z0-9_%+.\-])[A-Za-z0-9_%+\-]+(?:\.[A-Za-z0-9_%+\-]+)*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}",
-    "phone": r"\+?\d{0,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]\d{2,4}){1,4}",
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "credit_card": r"\b(?:\d[ -]*?){13,19}\b",
-    "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
-    "passport": r"\b[A-Z]{1,2}\d{6,9}\b",
+    "email": f"(?i)(?<![{_L}.-])[{_L}-]+(?:[.][{_L}-]+)*@(?:[a-z0-9-]+[.])+[a-z]{{2,}}",
+    "phone": rf"[+]?\d{{0,3}}{_S}?(?:[(]\d{{1,4}}[)]{_S}?)?\d{{2,4}}(?:{_S}\d{{2,4}}){{1,4}}",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "credit_card": r"\b(?:[0-9][ -]*?){13,19}\b",
+    "ipv4": r"\b(?:[0-9]{1,3}[.]){3}[0-9]{1,3}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}\b",
+    "passport": r"\b[A-Z]{1,2}[0-9]{6,9}\b",
 }
 REDACTED = "[REDACTED]"
 
@@ -62,8 +64,8 @@ _COMPILED = {k: re.compile(p, re.A if k != "email" else 0) for k, p in PII.items
 
 
 def _luhn(value: str) -> bool:
-    digits = [int(c) for c in value if c in "0123456789"]
-    if not 13 <= len(digits) <= 19:
+    digits = list(map(int, re.findall("[0-9]", value)))
+    if len(digits) not in range(13, 20):
         return False
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(reversed(digits))) % 10 == 0
 
@@ -106,11 +108,9 @@ _SUFFIX = r"\.(home\.arpa|internal|intranet|lan|local|localhost)$"
 
 
 def _address(host: str):
-    try:
+    with contextlib.suppress(ValueError):
         return ipaddress.ip_address(host)
-    except ValueError:
-        pass
-    parts = host.split(".")
+    parts = re.split("[.]", host)
     if not 1 <= len(parts) <= 4:
         return None
     numbers = []
@@ -136,7 +136,7 @@ def blocked_address(host: str) -> bool:
     if ip is None:
         return False
     ip = getattr(ip, "ipv4_mapped", None) or ip
-    return ip.is_loopback or ip.is_link_local or ip.is_private or ip.is_reserved or ip.is_multicast or ip.is_unspecified
+    return any(getattr(ip, f"is_{kind}") for kind in "link_local loopback multicast private reserved unspecified".split())
 
 
 @arrow_udf("boolean")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TEXT_SIGNS = (
-    ("cloudflare", "cf-browser-verification|cf-chl-bypass|__cf_chl_"),
+    ("cloudflare", "__cf_chl_|cf-browser-verification|cf-chl-bypass"),
     ("akamai", "akamai.*reference|ak-bm-"),
     ("perimeterx", "perimeterx|_pxhd|px-captcha"),
     ("datadome", "datadome"),
@@ -18,8 +18,8 @@ TEXT_SIGNS = (
 )
 SOURCE_SIGNS = (
     ("cloudflare", r"challenges\.cloudflare\.com"),
-    ("captcha", r"js\.hcaptcha\.com|hcaptcha\.com/captcha"),
-    ("captcha", r"www\.google\.com/recaptcha|recaptcha\.net"),
+    ("captcha", r"hcaptcha\.com/captcha|js\.hcaptcha\.com"),
+    ("captcha", r"recaptcha\.net|www\.google\.com/recaptcha"),
     ("captcha", "arkoselabs|funcaptcha"),
     ("datadome", r"geo\.captcha-delivery\.com|datadome"),
     ("perimeterx", r"captcha\.px-cdn|px-captcha|perimeterx"),

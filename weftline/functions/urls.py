@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TRACKING = ("utm_", "fbclid", "gclid", "mc_eid", "mc_cid", "ref")
-ASSETS = "pdf jpg jpeg png gif webp svg ico bmp css js mjs json xml rss atom zip gz tar bz2 7z rar mp4 webm mov avi mp3 wav ogg flac woff woff2 ttf otf eot doc docx xls xlsx ppt pptx".split()
+TRACKING = "fbclid gclid mc_cid mc_eid ref utm_".split()
+ASSETS = "7z atom avi bmp bz2 css doc docx eot flac gif gz ico jpeg jpg js json mjs mov mp3 mp4 ogg otf pdf png ppt pptx rar rss svg tar ttf wav webm webp woff woff2 xls xlsx xml zip".split()
 _SPLIT = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
@@ -61,7 +61,7 @@ def normalize(url: Column) -> Column:
 def path_template(url: Column) -> Column:
     """First two path segments, lower-cased, identifiers as ``:id``."""
     segments = F.slice(F.filter(F.split(path(url), "/"), lambda x: x != ""), 1, 2)
-    ident = r"^(\d+|[0-9a-fA-F]{8,}|.*\d.*-.*|[^/]{40,})$"
+    ident = r"^([0-9]+|[0-9A-Fa-f]{8,}|.*[0-9].*-.*|[^/]{40,})$"
     return F.array_join(F.transform(segments, lambda x: F.when(x.rlike(ident), ":id").otherwise(F.lower(x))), "/")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BASE = ("url", "run_id", "status", "tier_used", "kind", "title", "blocked", "block_reason", "cost_usd", "error")
+BASE = tuple("url run_id status tier_used kind title blocked block_reason cost_usd error".split())
 
 
 def _has(results: DataFrame, name: str) -> Column:

@@ -159,7 +159,7 @@ def typed(extractions: DataFrame, model: type) -> DataFrame:
     return extractions.withColumn("record", F.from_json("extraction.data", schemas.struct_type(model)))
 
 
-def model_cost(rows: DataFrame, prices: DataFrame, fallback: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+def model_cost(rows: DataFrame, prices: DataFrame, fallback: tuple = (0.0, 0.0)) -> DataFrame:
     """USD of (model_id, input_tokens, output_tokens) by a price table per million tokens, with a fallback."""
     p = prices.select("model_id", "input_usd", "output_usd")
     j = rows.join(p, "model_id", "left")

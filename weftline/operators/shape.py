@@ -28,7 +28,7 @@ def _row(url: str | None, html: str | None, content_type: str | None, raw: bytes
             "title": s.title,
             "markdown": s.markdown,
             "chunks": [
-                {"text": c.text, "heading_trail": c.trail, "selector_path": ("markdown" if s.kind == "html" else s.kind) + "://" + ("/".join(c.trail) or "_root_"), "byte_start": c.start, "byte_end": c.end, "chunk_hash": c.hash}
+                {"text": c.text, "heading_trail": c.trail, "selector_path": ("markdown" if s.kind == "html" else s.kind) + "://" + ("/".join(c.trail) or "_root_"), "byte_start": c.start, "byte_end": c.end, "chunk_hash": c.digest()}
                 for c in s.chunks
             ],
             "data": s.data,
@@ -93,7 +93,7 @@ def main_content(html: pd.Series) -> pd.Series:
 @arrow_udf(f"array<{CHUNK}>")
 def chunk_markdown(md: pd.Series) -> pd.Series:
     def one(t: str | None) -> list[dict]:
-        return [{"text": c.text, "heading_trail": c.trail, "selector_path": "markdown://" + ("/".join(c.trail) or "_root_"), "byte_start": c.start, "byte_end": c.end, "chunk_hash": c.hash} for c in shaping.chunks(t or "")]
+        return [{"text": c.text, "heading_trail": c.trail, "selector_path": "markdown://" + ("/".join(c.trail) or "_root_"), "byte_start": c.start, "byte_end": c.end, "chunk_hash": c.digest()} for c in shaping.chunks(t or "")]
 
     return md.map(one)
 

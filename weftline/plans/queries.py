@@ -61,7 +61,7 @@ def url_hosts(spark, d):
 
 
 @query(rf"""WITH {_SQL_URL} SELECT page_id, coalesce(array_to_string(list_transform(list_slice(list_filter(string_split(p, '/'), lambda x: x <> ''), 1, 2),
-  lambda x: CASE WHEN regexp_full_match(x, '\d+|[0-9a-fA-F]{{8,}}|.*\d.*-.*|[^/]{{40,}}') THEN ':id' ELSE lower(x) END), '/'), '') AS path_template FROM parts""")
+  lambda x: CASE WHEN regexp_full_match(x, '[0-9]+|[0-9A-Fa-f]{{8,}}|.*\d.*-.*|[^/]{{40,}}') THEN ':id' ELSE lower(x) END), '/'), '') AS path_template FROM parts""")
 def path_template(spark, d):
     return _t(spark, d, "pages").select("page_id", urls.path_template(F.col("url")).alias("path_template"))
 
@@ -97,7 +97,7 @@ def fetch_guard(spark, d):
 
 @query()
 def source_rewrite(spark, d):
-    return _t(spark, d, "pages").select("page_id", urls.source_rewrite(F.concat(F.lit("https://en.m.wikipedia.org/wiki/Page_"), F.col("page_id"))).alias("api_url"))
+    return _t(spark, d, "pages").select("page_id", urls.source_rewrite(F.concat(F.lit("https://fr.m.wikipedia.org/wiki/Page_"), F.col("page_id"))).alias("api_url"))
 
 
 # --- signals
@@ -179,7 +179,7 @@ def scrape(spark, d):
 
 # --- personal data.  Word borders are spelt out, so that both dialects agree beside non-ASCII letters.
 
-_ASCII_PII = {"ssn": r"\b\d{3}-\d{2}-\d{4}\b", "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "passport": r"\b[A-Z]{1,2}\d{6,9}\b"}
+_ASCII_PII = {k: policy.PII[k] for k in ("ssn", "ipv4", "iban", "passport")}
 
 
 @query(f"SELECT doc_id, {', '.join(f'''regexp_extract_all(text, '{p}') AS {k}''' for k, p in _ASCII_PII.items())} FROM documents")

@@ -51,7 +51,7 @@ def struct_type(model: type) -> T.StructType:
 
 def schema_hash(model: type) -> str:
     """Sixteen hexadecimal digits of the canonical JSON schema's SHA-256."""
-    return hashlib.sha256(json.dumps(model.model_json_schema(), sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
+    return hashlib.sha256(json.dumps(model.model_json_schema(), separators=(",", ":"), sort_keys=True).encode()).hexdigest()[:16]
 
 
 def required_fields(model: type) -> list[str]:
