@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.grams import Words, blocks
-from weftline.llm.store import written
+from weftline.llm.store import drop, written
 
 N = 3
 THRESHOLD = 0.6
@@ -114,17 +114,20 @@ def components(edges: DataFrame, label: str = "components", alone: int = 2_000_0
     """
     trees = written(edges.select("a", "b").mapInArrow(_forest, "a bigint, b bigint"), label)
     if trees.count() <= alone:
-        merged = trees.repartition(1).mapInArrow(_forest, "id bigint, label bigint")
-        return written(merged, label)
+        merged = written(trees.repartition(1).mapInArrow(_forest, "id bigint, label bigint"), label)
+        drop(trees)
+        return merged
     both = written(trees.where("a <> b").select("a", "b").union(trees.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))), label)
-    now = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), label)
+    now = last = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), label)
     while True:
         near = both.join(now.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = written(now.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")), label)
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("root"))
         done = written(step.join(jump, "label", "left").select("id", "old", F.least("label", "root").alias("label")), label)
-        now = done.select("id", "label")
+        drop(step, last)
+        now, last = done.select("id", "label"), done
         if done.where("label < old").isEmpty():
+            drop(trees, both)
             return now
 
 
@@ -153,7 +156,9 @@ def candidates(reps: DataFrame, t: float, hot: int) -> DataFrame:
     # at most the share ``out`` of the window can have been in common
     met = met.selectExpr("a", "b", "s", "if(sunka AND sunkb, least(ka, kb), least(ca, cb)) AS m", "if(sunka AND sunkb, 0.0D, least(1 - ca / ka, 1 - cb / kb) + 0.05D) AS out")
     met = met.selectExpr("a", "b", "s", "m", f"greatest(0.0D, ({t} - out) / (1 - out)) AS j")
-    return met.where("s >= floor(m * j - 4.3D * sqrt(m * j * (1 - j)))").select("a", "b")
+    found = written(met.where("s >= floor(m * j - 4.3D * sqrt(m * j * (1 - j)))").select("a", "b"), "candidates")
+    drop(held, again)
+    return found
 
 
 def _verify(t: float):
@@ -182,7 +187,7 @@ def _joined(docs: DataFrame, n: int, t: float, window: int | None, hot: int) ->
     rep = signed.groupBy("fp").agg(F.min("id").alias("rep"))
     members = written(signed.select("id", "fp").distinct().join(rep, "fp").select("id", "rep"), "members")
     reps = signed.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["fp"]).select("id", "size", "cells")
-    found = written(candidates(reps, t, hot), "candidates")
+    found = candidates(reps, t, hot)
     region = components(found, "regions")
     wide = region.groupBy("label").count().selectExpr("label", f"CAST(ceil(count / {BLOCK}) AS int) AS nb")
     where = written(region.join(wide, "label"), "regions")
@@ -193,7 +198,9 @@ def _joined(docs: DataFrame, n: int, t: float, window: int | None, hot: int) ->
     grams = grams.selectExpr("label", "id", "grams", f"explode(array_distinct(concat(transform(sequence(0, nb - 1), o -> struct({own} AS i, o AS j)), transform(sequence(0, nb - 1), o -> struct(o AS i, {own} AS j))))) AS at")
     grams = grams.select("label", "id", "grams", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
     checked = pairs.groupBy("label", "i", "j").cogroup(grams.groupBy("label", "i", "j")).applyInPandas(_verify(t), "a bigint, b bigint, jaccard double")
-    return members, written(checked, "verified")
+    verified = written(checked, "verified")
+    drop(signed, found, region, where)
+    return members, verified
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, window: int | None = WINDOW, hot: int = HOT) -> DataFrame:
@@ -209,7 +216,9 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, window: in
     """(id, keep_id) of every document in a near-duplicate group; ``keep_id`` is the group's least doc_id."""
     members, pairs = _joined(docs, n, threshold, window, hot)
     root = components(pairs, "groups")
-    return members.join(root.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("keep_id"))
+    out = members.join(root.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("keep_id"))
+    drop(pairs)
+    return out
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:

@@ -85,7 +85,7 @@ _LONG = {
 
 
 def normal(sentence: str) -> str:
-    return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
+    return " ".join(re.findall("[a-z0-9]+", sentence.lower()))
 
 
 def _tables() -> tuple[dict[str, str], list[tuple[str, str, int, str]]]:
