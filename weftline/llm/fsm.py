@@ -21,6 +21,7 @@ such texts as have no border in whole chunks.
 from __future__ import annotations
 
 import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from weftline.llm import vocab
 from weftline.llm.grams import raw
 
 CHUNK = 512
-MAX_STATES = 400_000
+MAX_STATES = 250_000
+MAX_PAIRS = 200_000
 _compiled: dict[int, Transducer] = {}
 
 
@@ -43,77 +45,90 @@ class Transducer:
         self.heads = {t[:i] for t in self.ranks for i in range(len(t))}
         core = vocab.encoding(blob)._core_bpe
         self._piece = core.encode_single_piece
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        start = ((b"", -1, 0),)
-        self.ids: dict[tuple, int] = {start: 0}
-        self.states: list[tuple] = [start, ()]  # state 1 waits for a border, whatever it reads
+        start = _pack(b"", [(0, -1, 0)])
+        self.ids: dict[bytes, int] = {start: 0}
+        self.states: list[bytes] = [start, b""]  # state 1 waits for a border, whatever it reads
         self.column = np.full(256, -1, np.int64)  # bytes met so far have a column each
         self.width = 0
-        self.next = np.full((1024, 32), -1, np.int32)
-        self.emit = np.zeros((1024, 32), np.int8)
-        self.next[1] = 1
+        # next state * 128 + 64 + emitted count, 0 where not compiled; rows that aren't used take no memory
+        self.cells = np.zeros((MAX_STATES + 1024, 128), np.int32)
+        self.cells[1] = 1 * 128 + 64
 
     def _grow(self, rows: int, columns: int) -> None:
-        for name, fill in (("next", -1), ("emit", 0)):
-            old = getattr(self, name)
-            new = np.full((rows, columns), fill, old.dtype)
-            new[: old.shape[0], : old.shape[1]] = old
-            setattr(self, name, new)
-        self.next[1] = 1
+        used = min(len(self.states), len(self.cells))
+        new = np.zeros((rows, columns), np.int32)
+        new[:used, : self.cells.shape[1]] = self.cells[:used]
+        new[1] = 1 * 128 + 64
+        self.cells = new
 
     def fits(self, left: int, right: int) -> bool:
         """Whether tokens ``left``, ``right`` stay as they are when their bytes are tokenized together."""
         if left < 0:
             return True
-        key = (left, right)
+        key = left << 32 | right
         if (ok := self._fits.get(key)) is None:
+            if len(self._fits) >= MAX_PAIRS:
+                self._fits.clear()
             ok = self._fits[key] = list(self._piece(self.token[left] + self.token[right])) == [left, right]
         return ok
 
     def compile(self, state: int, byte: int) -> None:
-        b, ranks, heads = bytes((byte,)), self.ranks, self.heads
-        grown = [(suffix + b, last, count) for suffix, last, count in self.states[state]]
-        for piece, last, count in grown:
-            t = ranks.get(piece)
+        v, opens = _unpack(self.states[state])
+        ranks, heads, w, size = self.ranks, self.heads, v + bytes((byte,)), len(v)
+        for length, last, count in opens:
+            t = ranks.get(w[size - length :])
             if t is not None and self.fits(last, t):
                 break
         else:
             raise ValueError("the vocabulary lacks a byte")
         emitted = count + 1
-        target = (*((p, last, c - emitted) for p, last, c in grown if p in heads), (b"", t, 0))
+        # positions that no longer token can begin at say nothing about the future
+        grown = [(n + 1, last, c - emitted) for n, last, c in opens if w[size - n :] in heads]
+        target = _pack(w[len(w) - grown[0][0] :] if grown else b"", [*grown, (0, t, 0)])
         to = self.ids.get(target)
         if to is None:
             to = self.ids[target] = len(self.states)
             self.states.append(target)
-            if to >= len(self.next):
-                self._grow(len(self.next) * 3 // 2, self.next.shape[1])
-        self.next[state, self.column[byte]] = to
-        self.emit[state, self.column[byte]] = emitted
+            if to >= len(self.cells):
+                self._grow(len(self.cells) * 3 // 2, self.cells.shape[1])
+        self.cells[state, self.column[byte]] = to * 128 + 64 + emitted
 
     def columns(self, data: np.ndarray) -> None:
         """Gives the bytes of ``data`` their columns."""
         for b in np.flatnonzero(np.bincount(data, minlength=256) * (self.column < 0)):
             self.column[b] = self.width
             self.width += 1
-        if self.width > self.next.shape[1]:
-            self._grow(len(self.next), min(256, (self.width + 31) // 32 * 32))
+        if self.width > self.cells.shape[1]:
+            self._grow(len(self.cells), 256)
 
     def step(self, state: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and emitted counts of many lanes; bytes are given by their columns."""
-        at = state * np.int32(self.next.shape[1]) + column
-        to = self.next.ravel().take(at)
-        if to.min() < 0:
+        at = state * np.int32(self.cells.shape[1]) + column
+        cell = self.cells.ravel().take(at)
+        if not cell.all():
             byte_of = np.zeros(256, np.int64)
             byte_of[self.column[self.column >= 0]] = np.flatnonzero(self.column >= 0)
-            missing = np.flatnonzero(to < 0)
+            missing = np.flatnonzero(cell == 0)
             for key in set((state[missing].astype(np.int64) * 256 + byte_of[column[missing]]).tolist()):
                 self.compile(key >> 8, key & 255)
-            at = state * np.int32(self.next.shape[1]) + column
-            to = self.next.ravel().take(at)
-        return to, self.emit.ravel().take(at)
+            at = state * np.int32(self.cells.shape[1]) + column
+            cell = self.cells.ravel().take(at)
+        return cell >> 7, (cell & 127) - 64
+
+
+def _pack(v: bytes, opens: list[tuple[int, int, int]]) -> bytes:
+    """A state as bytes: the suffix v and, for each open position, its distance from the end, last token and count."""
+    return array("i", [x for o in opens for x in o]).tobytes() + v + bytes((len(v),))
+
+
+def _unpack(state: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
+    n = state[-1]
+    flat = array("i", state[: -1 - n])
+    return state[-1 - n : -1], list(zip(flat[::3], flat[1::3], flat[2::3]))
 
 
 def transducer(blob: bytes) -> Transducer:
