@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from weftline.llm.features import dual_coordinate_descent, per_row, scores
 from weftline.llm.grams import U, Words, as_string, blocks
 from weftline.llm.quality import sampled
-from weftline.llm.store import written
+from weftline.llm.store import drop, written
 
 SAMPLE = 3000
 STEMS = (4, 5, 6, 7, 8)
@@ -268,6 +268,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     yes = [c for c, p in posterior.items() if p > 0.5]
     soft = cast.select("doc_id", F.col("pattern").isin(yes).cast("int").alias("y"))
     weight, bias = fit(sampled(docs, soft, "y", sample), voters)
+    drop(cast)
     return rows.mapInArrow(_judge_task(voters, weight, bias, posterior), SCHEMA)
 
 
