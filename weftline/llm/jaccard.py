@@ -11,8 +11,9 @@ Jaccard distance, a partner at similarity ``t`` may miss at most |x| - ceil(t|x|
 any fixed order of the cells, partners meet twice within their first |x| - ceil(t|x|) + 2 cells, and x is
 replicated to those.  The order is: cells of up to ``hot`` documents, then full ones, each by hash.  A
 document of at most ``window`` n-grams has all it needs at hand; of a longer one the first ``window`` by
-hash are looked at, and two such documents at similarity t miss each other with a probability below 1e-6,
-hashes being uniform.  ``window=None`` looks at all and never misses.  Distance to the empty set gives the
+hash are looked at, and two such documents at similarity t miss each other with a probability below 1e-5
+while at most a third of their cells are full, and of some percent if nearly half are, hashes being
+uniform.  ``window=None`` looks at all and never misses.  Distance to the empty set gives the
 size window min(|x|, |y|) >= t max(|x|, |y|).
 
 Recursion.  Full cells are left out at first; documents whose window reaches into them, or lies by half
