@@ -33,7 +33,7 @@ def test_url_parts(spark):
     assert one(spark, urls.canonical_host, "http://www.a.com:81/") == ["a.com:81"]
     assert one(spark, urls.path_template, "http://a/Shop/12/x", "http://a/", "http://a/deadbeef/1-a/z", "http://a/a-1") == ["shop/:id", "", ":id/:id", "a-1"]
     assert one(spark, urls.is_asset, "http://a/x.PDF", "http://a/x.pdf/y", "http://a/x") == [True, False, False]
-    assert one(spark, urls.source_rewrite, "https://fr.m.wikipedia.org/wiki/A_b/c", "https://es.wikipedia.org/wiki/Special:X", "https://x.org/wiki/A") == ["https://fr.wikipedia.org/api/rest_v1/page/html/A_b%2Fc", None, None]
+    assert one(spark, urls.source_rewrite, "https://fr.m.wikipedia.org/wiki/A_b/c", "https://es.wikipedia.org/wiki/Special:X", "https://x.org/wiki/A", "https://de.wikibooks.org/w/index.php?a=1&title=A+b") == ["https://fr.wikipedia.org/api/rest_v1/page/html/A_b%2Fc", None, None, "https://de.wikibooks.org/api/rest_v1/page/html/A%20b"]
     assert one(spark, urls.input_target, "e.com", "ftp://x", " ", "http://y") == ["https://e.com", None, None, "http://y"]
 
 

@@ -70,13 +70,15 @@ def is_asset(url: Column) -> Column:
 
 
 def source_rewrite(url: Column) -> Column:
-    """Wiki article pages as their REST endpoint; other URLs null.  Mobile hosts collapse, special and media
-    namespaces are left alone."""
+    """Wiki article pages, by path or by ``index.php?title=``, as their REST endpoint; other URLs null.  Mobile
+    hosts collapse, special and media namespaces are left alone."""
     h = F.regexp_replace(host(url), r"\.m\.", ".")
     title = F.regexp_extract(path(url), "^/wiki/(.+)$", 1)
-    plain = F.url_decode(F.regexp_replace(title, r"\+", "%2B"))
-    quoted = F.regexp_replace(F.url_encode(F.regexp_replace(plain, " ", "_")), r"\+", "%20")
-    ok = h.rlike(r"^[a-z\-]+\.(wikipedia|wiktionary|wikiquote|wikibooks|wikisource|wikinews|wikivoyage|wikiversity)\.org$") & (title != "") & ~plain.rlike("(?i)^(special|media):")
+    asked = F.regexp_extract(query(url), "(?:^|&)title=([^&]*)", 1)
+    by_query = path(url) == "/w/index.php"
+    plain = F.when(by_query, F.try_url_decode(asked)).otherwise(F.try_url_decode(F.regexp_replace(title, r"\+", "%2B")))
+    quoted = F.regexp_replace(F.url_encode(plain), r"\+", "%20")
+    ok = h.rlike(r"^[a-z\-]+\.(wikipedia|wiktionary|wikiquote|wikibooks|wikisource|wikinews|wikivoyage|wikiversity)\.org$") & (plain != "") & ~plain.rlike("(?i)^(special|media):")
     return F.when(ok, F.concat(F.lit("https://"), h, F.lit("/api/rest_v1/page/html/"), quoted))
 
 

@@ -77,16 +77,16 @@ def asset_filter(spark, d):
     return _t(spark, d, "pages").where(urls.is_asset(F.col("url"))).select("page_id", "url")
 
 
-@query(rf"WITH {_SQL_URL} SELECT page_id FROM parts WHERE regexp_replace(a, '^www\.', '') IN (SELECT regexp_replace(a, '^www\.', '') FROM parts WHERE page_id % 50 = 0)")
+@query(rf"WITH {_SQL_URL} SELECT page_id FROM parts WHERE regexp_replace(a, '^www\.', '') IN (SELECT regexp_replace(a, '^www\.', '') FROM parts WHERE contains(url, 'utm_source'))")
 def scope_semi_join(spark, d):
     pages = _t(spark, d, "pages")
-    return frontier.in_scope(pages, pages.where("page_id % 50 = 0")).select("page_id")
+    return frontier.in_scope(pages, pages.where(F.contains("url", F.lit("utm_source")))).select("page_id")
 
 
-@query(f"WITH {_SQL_URL}, {_SQL_NORM} SELECT DISTINCT n AS url FROM norm WHERE n NOT IN (SELECT n FROM norm WHERE page_id % 2 = 0)")
+@query(f"WITH {_SQL_URL}, {_SQL_NORM} SELECT DISTINCT n AS url FROM norm WHERE n NOT IN (SELECT n FROM norm WHERE contains(url, '#'))")
 def frontier_anti_join(spark, d):
-    pages = _t(spark, d, "pages").select("page_id", urls.normalize(F.col("url")).alias("url"))
-    return frontier.unseen(pages.select("url"), pages.where("page_id % 2 = 0"), ["url"])
+    pages = _t(spark, d, "pages").select(F.contains("url", F.lit("#")).alias("seen"), urls.normalize(F.col("url")).alias("url"))
+    return frontier.unseen(pages.select("url"), pages.where("seen"), ["url"])
 
 
 @query(rf"""WITH {_SQL_URL} SELECT page_id, s IN ('http', 'https') AND h <> '' AND h NOT IN ('localhost', 'localhost.localdomain', 'ip6-localhost', 'ip6-loopback')
@@ -160,16 +160,21 @@ def page_links(spark, d):
     return frontier.links(_t(spark, d, "pages"))
 
 
+def _seeds(pages: DataFrame) -> DataFrame:
+    """The first URL of each host."""
+    return pages.groupBy(urls.canonical_host(F.col("url"))).agg(F.min("url").alias("url")).select("url")
+
+
 @query()
 def map_site(spark, d):
     pages = _t(spark, d, "pages")
-    return frontier.map_site(pages, pages.where("page_id < 5"))
+    return frontier.map_site(pages, _seeds(pages))
 
 
 @query()
 def crawl(spark, d):
     pages = _t(spark, d, "pages")
-    return frontier.crawl(pages, pages.where("page_id < 5"), max_depth=2)
+    return frontier.crawl(pages, _seeds(pages), max_depth=2)
 
 
 @query()
