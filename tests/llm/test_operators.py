@@ -159,6 +159,24 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in decontam.decontaminate(docs(spark, rows), bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_decontamination_does_not_depend_on_how_often_a_copy_leaked(spark):
+    rng = random.Random(5)
+    item = [f"q{k}" for k in range(30)]
+    edited = [f"edit{k}" if k % 7 == 6 else x for k, x in enumerate(item)]
+    for verbatim, n in ((0, 4), (0, 100), (1, 100)):
+        rows = [(k, " ".join([f"r{rng.randrange(10**6)}" for _ in range(20)] + edited + ["z"] * 5)) for k in range(n)]
+        rows += [(1000 + k, " ".join(item)) for k in range(verbatim)] + [(2000, " ".join(item[:6]) + " and no more")]
+        got = {r["doc_id"]: r["score"] for r in decontam.contaminated(docs(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()}
+        assert got == {i: pytest.approx(brute_score(words(t), item)) for i, t in rows if i != 2000}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=12), st.lists(st.integers(0, 9), min_size=1, max_size=25))
+def test_what_is_out_of_reach_never_aligns(item, doc):
+    d, i = np.array(doc, np.uint64), np.array(item, np.uint64)
+    assert decontam.within_reach(d, i, decontam.MIN_SCORE) or brute_score(doc, item) < decontam.MIN_SCORE
+
+
 def test_decontamination_odd(spark):
     bench = spark.createDataFrame([(1, "same text here and more of it"), (2, None), (None, ""), (3, "word")], "item_id bigint, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(odd(spark), bench).collect())

@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, a bound on the score, then Smith-Waterman alignment.
 
-Every n-gram of every test item is a possible seed.  A first scan counts, over all documents,
-in how many each seed occurs.  A seed is *rare* for an item if its document count is at most
-``rare_factor`` times the median over that item's seeds: at least half of an item's seeds are
-always rare, however often the item leaked, while stock phrases inside it are set aside.
-A second scan joins documents to items by rare seeds and aligns the words around each seed
-diagonal with the item (match +2, mismatch -1, gap -1).  A document is contaminated by an item
-if the best score reaches ``min_score`` of the score of a verbatim copy.
+Every n-gram of every test item is a seed, however many documents hold it: whether a document is found
+depends on its own text and the item's, never on how often either leaked.  A scan joins documents to
+items by seeds and takes the words around each seed diagonal.  No alignment there can match more words than
+document and item have in common, so a window with too few of them for ``min_score`` (a stock phrase
+met elsewhere) is left out without loss; the others are aligned with the item (match +2, mismatch -1, gap -1).
+A document is contaminated by an item if the best score reaches ``min_score`` of the score of a verbatim copy.
 
 The items are held by each task in slices of ``slice_grams`` seeds; a larger benchmark takes
 more scans, never more memory.
@@ -28,9 +27,9 @@ from pyspark.sql import functions as F
 from weftline.llm.grams import Words, as_string, blocks
 
 N = 4
-RARE_FACTOR = 4.0
 MIN_SCORE = 0.5
 SLICE_GRAMS = 2_000_000
+PAIRS = 1_000_000
 SCHEMA = "doc_id bigint, item_id bigint, score double, start_word int, end_word int, matched_words int"
 
 
@@ -100,6 +99,24 @@ def windows(pos: np.ndarray, place: np.ndarray, m: int, n: int) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
+def within_reach(doc: np.ndarray, item: np.ndarray, min_score: float) -> bool:
+    """Whether the words that both have are enough for ``min_score``, were all of them matched."""
+    if np.isin(doc, item).sum() / len(item) < min_score:
+        return False
+    return bool(np.isin(item, doc).sum() / len(item) >= min_score)
+
+
+def _parts(reps: np.ndarray, row: np.ndarray, limit: int) -> Iterator[slice]:
+    """Runs of hits, whole rows each, that stand for about ``limit`` pairs of a place in the text and one in an item."""
+    ends = np.append(np.flatnonzero(np.diff(row)) + 1, len(row))
+    total = np.cumsum(reps)
+    lo = done = 0
+    for hi in ends.tolist():
+        if total[hi - 1] - done >= limit or hi == len(row):
+            yield slice(lo, hi)
+            lo, done = hi, total[hi - 1]
+
+
 def _hits(g: np.ndarray, seeds: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``g`` that are seeds, and the index of the seed among the distinct sorted ones."""
     at = np.flatnonzero(sieve[(g >> np.uint64(42)).astype(np.int64)])
@@ -115,22 +132,6 @@ def _sieve(seeds: np.ndarray) -> np.ndarray:
     return s
 
 
-def _counter(seeds: np.ndarray, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, count = _sieve(seeds), np.zeros(len(seeds), np.int64)
-        for batch in batches:
-            for _, arr in blocks(batch.column(0)):
-                g, ptr = Words(arr).grams(n)
-                at, k = _hits(g, seeds, sieve)
-                row = np.searchsorted(ptr, at, "right") - 1
-                pair = np.unique(row * np.int64(len(seeds)) + k)
-                np.add.at(count, pair % len(seeds), 1)
-        k = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(count[k], pa.int64())], names=["k", "docs"])
-
-    return run
-
-
 def _matcher(ids, words, seeds, owner, place, n: int, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct, first = np.unique(seeds, return_index=True)
@@ -144,23 +145,27 @@ def _matcher(ids, words, seeds, owner, place, n: int, min_score: float):
                 at, k = _hits(g, distinct, sieve)
                 if len(at) == 0:
                     continue
-                reps = last[k] - first[k]
-                src = np.repeat(first[k], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                row = np.repeat(np.searchsorted(ptr, at, "right") - 1, reps)
-                pos = np.repeat(at, reps) - ptr[row]
-                order = np.lexsort((owner[src], row))
-                row, pos, item, where = row[order], pos[order], owner[src][order], place[src][order]
-                cut = np.flatnonzero(np.diff(row) | np.diff(item)) + 1
-                for a, b in zip(np.append(0, cut), np.append(cut, len(row))):
-                    r, i = int(row[a]), int(item[a])
-                    doc = w.h[w.ptr[r] : w.ptr[r + 1]]
-                    best = None
-                    for lo, hi in windows(pos[a:b], where[a:b], len(words[i]), len(doc)):
-                        s, x, y, matched = align(doc[lo:hi], words[i])
-                        if s >= min_score and (best is None or s > best[0]):
-                            best = (s, lo + x, lo + y, matched)
-                    if best:
-                        rows.append((base + r, ids[i], *best))
+                held = np.searchsorted(ptr, at, "right") - 1
+                for part in _parts(last[k] - first[k], held, PAIRS):
+                    lo_seed, reps = first[k[part]], last[k[part]] - first[k[part]]
+                    src = np.repeat(lo_seed, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+                    row = np.repeat(held[part], reps)
+                    pos = np.repeat(at[part], reps) - ptr[row]
+                    order = np.lexsort((owner[src], row))
+                    row, pos, item, where = row[order], pos[order], owner[src][order], place[src][order]
+                    cut = np.flatnonzero(np.diff(row) | np.diff(item)) + 1
+                    for a, b in zip(np.append(0, cut), np.append(cut, len(row))):
+                        r, i = int(row[a]), int(item[a])
+                        doc = w.h[w.ptr[r] : w.ptr[r + 1]]
+                        best = None
+                        for lo, hi in windows(pos[a:b], where[a:b], len(words[i]), len(doc)):
+                            if not within_reach(doc[lo:hi], words[i], min_score):
+                                continue
+                            s, x, y, matched = align(doc[lo:hi], words[i])
+                            if s >= min_score and (best is None or s > best[0]):
+                                best = (s, lo + x, lo + y, matched)
+                        if best:
+                            rows.append((base + r, ids[i], *best))
             if rows:
                 r, item, s, x, y, matched = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -171,26 +176,12 @@ def _matcher(ids, words, seeds, owner, place, n: int, min_score: float):
     return run
 
 
-def rare(owner: np.ndarray, docs: np.ndarray, factor: float) -> np.ndarray:
-    """Which seeds are rare for their item, given the documents that hold each."""
-    keep = np.zeros(len(owner), bool)
-    for i in np.unique(owner):
-        mine = owner == i
-        keep[mine] = docs[mine] <= factor * max(1.0, float(np.median(docs[mine])))
-    return keep
-
-
-def contaminated(docs: DataFrame, bench: DataFrame, n: int = N, min_score: float = MIN_SCORE, rare_factor: float = RARE_FACTOR, slice_grams: int = SLICE_GRAMS) -> DataFrame:
+def contaminated(docs: DataFrame, bench: DataFrame, n: int = N, min_score: float = MIN_SCORE, slice_grams: int = SLICE_GRAMS) -> DataFrame:
     """One row per (document row, item) that aligns: doc_id, item_id, score, word span, matched words."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for ids, words, seeds, owner, place in _slices(bench, n, slice_grams):
-        distinct, back = np.unique(seeds, return_inverse=True)
-        counted = texts.select("text").mapInArrow(_counter(distinct, n), "k bigint, docs bigint").groupBy("k").agg(F.sum("docs").alias("docs")).toArrow()
-        count = np.zeros(len(distinct), np.int64)
-        count[counted["k"].to_numpy()] = counted["docs"].to_numpy()
-        keep = rare(owner, count[back], rare_factor) & (count[back] > 0)
-        found = texts.mapInArrow(_matcher(ids, words, seeds[keep], owner[keep], place[keep], n, min_score), SCHEMA)
+        found = texts.mapInArrow(_matcher(ids, words, seeds, owner, place, n, min_score), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
