@@ -249,6 +249,38 @@ def test_packing_covers_every_text_in_order(spark):
     assert flat == sorted(flat)
 
 
+def true_count(text, w, encode):
+    return sum(len(encode(text[d][a:b])) for d, a, b in zip(w["doc_ids"], w["starts"], w["ends"]))
+
+
+def test_windows_hold_the_tokens_they_report(spark):
+    rng = random.Random(6)
+    dense = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789") for _ in range(9000))
+    plain = " ".join(rng.choice(["other", "words", "of", "the", "text"]) for _ in range(6000))
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000))
+    text = dict(enumerate([f"{dense} {plain}", f"{plain} {dense}", cjk, f"{cjk} {plain}", "!?-'" * 3000 + "s are odd", "x" + " " * 9000 + "y\n\n\nz", "😀é" * 3000, plain, "short."]))
+    encode = vocab.encoding(vocab.read()).encode_ordinary
+    for window in (2048, 64):
+        wins = packing.pack(docs(spark, list(text.items())), window=window).collect()
+        assert all(w["n_tokens"] == true_count(text, w, encode) <= window for w in wins)
+        assert any(w["cut"] == "inside" for w in wins)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["'s", "'", "ll", " ", "  ", "\n", "é", "😀", "日本", "word", "12", "!?", "\u3000", "zq"]), min_size=1, max_size=60), st.sampled_from([6, 9]))
+def test_pieces_of_long_sentences(parts, window):
+    blob = vocab.read()
+    text = "".join(parts)
+    arr = as_string(pa.array([text]))
+    machine, data = fsm.transducer(blob), np.frombuffer(text.encode(), np.uint8)
+    out, off = fsm.deltas(arr, machine)
+    got = packing._pieces(data, out, fsm.borders(data, off), window, machine)
+    encode = vocab.encoding(blob).encode_ordinary
+    starts = [a for a, _ in got] + [len(data)]
+    assert starts[0] == 0 and starts == sorted(set(starts))
+    assert [n for _, n in got] == [len(encode(data[a:b].tobytes().decode())) for a, b in zip(starts, starts[1:])] and all(n <= window for _, n in got)
+
+
 def test_packing_odd(spark):
     got = packing.pack(odd(spark)).collect()
     ids = [d for w in got for d in w["doc_ids"]]

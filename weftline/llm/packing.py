@@ -8,8 +8,9 @@ the first i sentences is
 
 where the rest of a window is padding and penalty(i) is 0 at a document's end and ``truncation`` inside one.
 f(j) + S(j) over the admissible j is kept in a monotone queue, so a shard takes linear time.  A sentence
-longer than a window is first cut into pieces of a full window, each cut inside it costing
-``hard_truncation``.  Of equal costs the earliest cut, the longest window, is taken.
+longer than a window is first cut into the longest pieces that fit one, each cut inside it costing
+``hard_truncation``: between pre-tokens, inside a longer pre-token between tokens, and between
+characters where a window's length of tokens all begin inside one.  Each piece has its own text's token count.  Of equal costs the earliest cut, the longest window, is taken.
 
 Only counts travel: the text stays where it is, and each window lists the character spans it holds.
 
@@ -75,7 +76,65 @@ def _sentences(data: np.ndarray, off: np.ndarray, mark: np.ndarray) -> np.ndarra
     return np.flatnonzero(stop)
 
 
-def _measure(blob: bytes):
+def _between_characters(data: np.ndarray, whole: np.ndarray, window: int, machine: fsm.Transducer) -> list[tuple[int, int]]:
+    """(first byte, tokens) of the pieces of a run in which no token begins with a character."""
+    out, lo = [], 0
+    while lo < len(data):
+        ends = np.flatnonzero(np.append(whole, True))
+        ends = ends[(ends > lo) & (ends <= max(lo + 8 * window, ends[ends > lo][0]))]
+        part = pa.array([data[lo : ends[-1]].tobytes().decode()], pa.large_string())
+        total = np.cumsum(fsm.deltas(part, machine)[0], dtype=np.int64)[ends - lo - 1]  # of each prefix
+        k = np.flatnonzero(total <= window)[-1]
+        out.append((lo, int(total[k])))
+        lo = int(ends[k])
+    return out
+
+
+def _pieces(data: np.ndarray, out: np.ndarray, mark: np.ndarray, window: int, machine: fsm.Transducer) -> list[tuple[int, int]]:
+    """(first byte, tokens) of the longest pieces of at most ``window`` tokens, from the front, of a long sentence."""
+    points, at = fsm._decode(data)
+    space = fsm._class_table()[points] == fsm._SPACE
+    whole = np.zeros(len(data), bool)
+    whole[at] = True
+    whole[at[1:][space[:-1] & ~space[1:]]] = False  # the end of a text takes in white space that a word would split
+    begin = np.flatnonzero(mark & whole)
+    done: list[tuple[int, int]] = []
+    lo = size = 0
+
+    def close(to: int) -> None:
+        nonlocal lo, size
+        if size:
+            done.append((lo, size))
+        lo, size = to, 0
+
+    def add(a: int, n: int) -> None:
+        nonlocal size
+        if size + n > window:
+            close(a)
+        size += n
+
+    for a, b, n in zip(begin.tolist(), np.append(begin[1:], len(data)).tolist(), np.add.reduceat(out, begin, dtype=np.int64).tolist()):
+        if n <= window:
+            add(a, n)
+            continue
+        edges = [*(np.flatnonzero(mark[a:b]) + a).tolist(), b]
+        starts = np.cumsum([a, *(len(machine.token[t]) for x, y in zip(edges, edges[1:]) for t in machine._piece(data[x:y].tobytes()))])[:-1]
+        # a contraction would begin a text that begins with its apostrophe
+        free = whole[starts] & ~((data[starts] == 39) & ~mark[starts] & np.isin(data[np.minimum(starts + 1, len(data) - 1)], np.frombuffer(b"stmdrvl", np.uint8)))
+        free[0] = True
+        first = np.flatnonzero(free)
+        for x, y, m in zip(starts[first].tolist(), np.append(starts[first[1:]], b).tolist(), np.diff(np.append(first, len(starts))).tolist()):
+            if m <= window:
+                add(x, m)
+                continue
+            close(x)
+            done += [(x + c, m) for c, m in _between_characters(data[x:y], whole[x:y], window, machine)]
+            close(y)
+    close(len(data))
+    return done
+
+
+def _measure(blob: bytes, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = fsm.transducer(blob)
         for batch in batches:
@@ -84,42 +143,49 @@ def _measure(blob: bytes):
                 if len(data) == 0:
                     continue
                 out, _ = fsm.deltas(arr, machine)
-                at = _sentences(data, off, fsm.borders(data, off))
+                mark = fsm.borders(data, off)
+                at = _sentences(data, off, mark)
                 tokens = np.add.reduceat(out, at, dtype=np.int32)
+                inside = np.zeros(len(at), bool)  # the piece ends inside a sentence
+                if (long := np.flatnonzero(tokens > window)).size:
+                    ends = np.append(at[1:], len(data))
+                    cut = [[(a + x, n) for x, n in _pieces(data[a:b], out[a:b], mark[a:b], window, machine)] for a, b in zip(at[long].tolist(), ends[long].tolist())]
+                    more = np.ones(len(at), np.int64)
+                    more[long] = [len(x) for x in cut]
+                    last = np.cumsum(more) - 1
+                    at, tokens = np.repeat(at, more), np.repeat(tokens, more)
+                    inside = np.ones(len(at), bool)
+                    inside[last] = False
+                    for k, x in zip(long.tolist(), cut):
+                        to = slice(last[k] + 1 - len(x), last[k] + 1)
+                        at[to], tokens[to] = zip(*x)
                 lead = np.append(0, np.cumsum((data & 0xC0) != 0x80))
                 row = np.searchsorted(off, at, "right") - 1
                 ends = lead[np.append(at[1:], len(data))] - lead[off[row]]
                 first = np.searchsorted(at, off)
                 held = np.flatnonzero(np.diff(first))
                 ptr = pa.array(np.append(first[held], len(at)).astype(np.int32))
+                hard = np.flatnonzero(inside)
+                hard_ptr = pa.array(np.searchsorted(hard, np.append(first[held], len(at))).astype(np.int32))
                 cols = batch.slice(base, len(arr)).take(pa.array(held))
                 yield pa.RecordBatch.from_arrays(
-                    [cols.column(0), cols.column(1), pa.ListArray.from_arrays(ptr, pa.array(tokens, pa.int32())), pa.ListArray.from_arrays(ptr, pa.array(ends, pa.int32()))],
-                    names=["doc_id", "tie", "tokens", "ends"],
+                    [cols.column(0), cols.column(1), pa.ListArray.from_arrays(ptr, pa.array(tokens, pa.int32())), pa.ListArray.from_arrays(ptr, pa.array(ends, pa.int32())), pa.ListArray.from_arrays(hard_ptr, pa.array(hard - first[row[hard]], pa.int32()))],
+                    names=["doc_id", "tie", "tokens", "ends", "hard"],
                 )
 
     return run
 
 
 def pack_shard(docs: list[tuple], window: int, truncation: float, hard: float) -> list[tuple]:
-    """Windows of the ordered (doc_id, tokens, ends): n_tokens, padding, cut, doc_ids, starts, ends."""
+    """Windows of the ordered (doc_id, tokens, ends, pieces that end inside a sentence): n_tokens, padding, cut, doc_ids, starts, ends."""
     counts, penalty, piece = [], [], []  # piece: (document, start, end)
-    for d, (_, tokens, ends) in enumerate(docs):
-        last = len(tokens) - 1
-        lo = 0
-        for k, (t, hi) in enumerate(zip(tokens, ends)):
-            at = lo
-            left = t
-            while left > window:  # characters are shared out as tokens are
-                to = at + max(0, (hi - at) * window // left)
-                counts.append(window)
-                penalty.append(hard)
-                piece.append((d, at, to))
-                at, left = to, left - window
-            counts.append(left)
-            penalty.append(0.0 if k == last else truncation)
-            piece.append((d, at, hi))
-            lo = hi
+    for d, (_, tokens, ends, cut) in enumerate(docs):
+        base = len(counts)
+        counts += tokens
+        penalty += [truncation] * (len(tokens) - 1) + [0.0]
+        piece += [(d, lo, hi) for lo, hi in zip([0, *ends], ends)]
+        for k in cut:
+            penalty[base + k] = hard
     _, ends = cuts(counts, penalty, window)
     rows, i = [], 0
     for end in ends:
@@ -140,7 +206,7 @@ def _packer(window: int, truncation: float, hard: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "tie"], kind="stable")
         ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-        docs = [(i, t.tolist(), e.tolist()) for i, t, e in zip(ids, pdf["tokens"], pdf["ends"])]
+        docs = [(i, t.tolist(), e.tolist(), c.tolist()) for i, t, e, c in zip(ids, pdf["tokens"], pdf["ends"], pdf["hard"])]
         rows = pack_shard(docs, window, truncation, hard)
         out = pd.DataFrame(rows, columns=["n_tokens", "padding", "cut", "doc_ids", "starts", "ends"])
         out.insert(0, "window", np.arange(len(out), dtype=np.int32))
@@ -153,7 +219,7 @@ def _packer(window: int, truncation: float, hard: float):
 def pack(docs: DataFrame, window: int = WINDOW, truncation: float = TRUNCATION, hard_truncation: float = HARD_TRUNCATION, shard: int = SHARD, vocabulary: str = vocab.DEFAULT) -> DataFrame:
     """Windows in order within each shard: the documents and character spans they hold, tokens and padding."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    sized = rows.mapInArrow(_measure(vocab.read(vocabulary)), "doc_id bigint, tie bigint, tokens array<int>, ends array<int>")
+    sized = rows.mapInArrow(_measure(vocab.read(vocabulary), window), "doc_id bigint, tie bigint, tokens array<int>, ends array<int>, hard array<int>")
     # a shard's width is fixed, so that shards grow in number and never in size
     sharded = sized.withColumn("shard", F.expr(f"CAST(floor(doc_id / {shard}) AS bigint)"))
     return sharded.groupBy("shard").applyInPandas(_packer(window, truncation, hard_truncation), SCHEMA)
