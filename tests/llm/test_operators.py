@@ -4,6 +4,7 @@ import io
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -444,6 +445,22 @@ def test_licenses(spark):
     assert licenses.scan(odd(spark)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    wrap = lambda t, width, mark="": "\n".join(mark + x for x in textwrap.wrap(t, width, break_long_words=False))
+    body = {n: [t.rstrip(":") + (":" if t.endswith(":") else ".") for t in texts] for n, texts in licenses._LONG.items()}
+    texts, want = [(0, "We ask for permission\nto use the MIT\nLicense text. Not licensed under\nthe MIT License.")], set()
+    for name, sents in body.items():
+        for width, mark in ((72, ""), (78, " * "), (70, "# "), (30, "// ")):
+            texts.append((len(texts), "Some Title\n\n" + f"\n{mark.rstrip()}\n".join(wrap(t, width, mark) for t in sents) + "\n\nThe rest of it."))
+            want.add((len(texts) - 1, name, "full"))
+    texts.append((len(texts), "// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0\n//\n// Unless required by"))
+    want.add((len(texts) - 1, "Apache-2.0", "partial"))
+    texts.append((len(texts), "This work is licensed under the GNU General\nPublic License, version 3."))
+    want.add((len(texts) - 1, "GPL-3.0", "notice"))
+    got = {(r["doc_id"], r["license"], r["rule"]) for r in licenses.scan(docs(spark, texts)).collect()}
+    assert want <= got and all(i for i, *_ in got)
+
+
 def test_every_known_sentence_has_an_anchor():
     assert all(any(a in w for a in licenses.ANCHORS for w in s.split()) for s in licenses.KNOWN)
 

@@ -1,12 +1,15 @@
 """Licence scan by sentence rules.
 
 Texts are split into sentences (at newlines, and after . ! ? before white space) and normalised to lower-case
-words.  A sentence that is known carries an identifier; a document's identifiers, in order, are matched
+words.  A known sentence may be wrapped over several lines, with comment marks before each: it begins where a part
+begins and ends where one ends, and the line ends between are blanks.  A sentence end inside it counts only where the known text
+has one (``v. 2.0``).  A sentence that is known carries an identifier; a document's identifiers, in order, are matched
 against ordered rules, each a sequence of identifiers between which others may stand.  Of a licence's rules the
 longest that matches is reported.
 
-Every known sentence holds one of ``ANCHORS`` inside a word, so only texts with an anchor are split.  The dictionary and the
-rules are constants of this module, and are broadcast as such.
+Every known sentence holds one of ``ANCHORS`` inside a word, so only texts with an anchor are split.  The dictionary is a trie
+of words, made once in each worker; the rules are constants of this module, and are broadcast as such.  ``ORACLE`` knows
+sentences on one line only.
 
 Defined cases: null and empty texts have no licence; of rows that are equal in doc_id and text one is reported; a
 null doc_id is carried through.
@@ -15,7 +18,9 @@ null doc_id is carried through.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,17 +123,72 @@ def _tables() -> tuple[dict[str, str], list[tuple[str, str, int, str]]]:
 
 
 KNOWN, RULES = _tables()
+_CUT = re.compile(f"({SPLIT.replace('(', '(?:')})", re.ASCII)
+_WORD = re.compile("[a-z0-9]+")
+_CODE, _STOP = "", "."  # keys of a trie node beside words: the sentence's code, a sentence end inside it
+
+
+def _trie() -> dict:
+    root: dict = {}
+
+    def add(path: list[str], code: str) -> None:
+        node = root
+        for word in path:
+            node = node.setdefault(word, {})
+        node[_CODE] = code
+
+    for sentence, code in KNOWN.items():
+        add(sentence.split(), code)
+    for texts in _LONG.values():
+        for t in texts:
+            parts = [_WORD.findall(p) for p in _CUT.split(t.lower().rstrip(".:"))[::2]]
+            add([w for k, p in enumerate(parts) for w in ([_STOP, *p] if k else p)], KNOWN[normal(t)])
+    return root
+
+
+TRIE = _trie()
+
+
+def sentences(low: str) -> list[tuple[int, str]]:
+    """(number of the part it begins in, code) of the known sentences of a lower-case text."""
+    cut = _CUT.split(low)
+    out = []
+    for i in range(0, len(cut), 2):
+        first = _WORD.search(cut[i])
+        if first is None or first.group() not in TRIE:
+            continue
+        node = TRIE
+        for k in range(i, len(cut), 2):
+            words = _WORD.findall(cut[k])
+            if k > i and cut[k - 1] != "\n":
+                node = node.get(_STOP)
+            for w in words:
+                if node is None:
+                    break
+                node = node.get(w)
+            if node is None:
+                break
+            if words and _CODE in node:
+                out.append((i // 2, node[_CODE]))
+    return out
+
+
+def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits = [(r, at, code) for r, low in enumerate(batch.column(2).to_pylist()) for at, code in sentences(low)]
+        if hits:
+            r, at, code = zip(*hits)
+            rows = pa.array(r, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32()), pa.array(code, pa.string())], names=["doc_id", "tie", "at", "code"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, license, rule, n_sentences (of the rule), first_sentence (number of the first known sentence)."""
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame(sorted(KNOWN.items()), "sentence string, code string"))
     rules = F.broadcast(spark.createDataFrame(RULES, "license string, rule string, n_sentences int, pattern string"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("low"))
     texts = texts.where(" OR ".join(f"contains(low, '{a}')" for a in ANCHORS))
-    parts = texts.select("doc_id", F.xxhash64("low").alias("tie"), F.expr(f"posexplode(split(low, r'{SPLIT}'))").alias("at", "s"))
-    hits = parts.select("doc_id", "tie", "at", F.trim(F.regexp_replace("s", "[^a-z0-9]+", " ")).alias("sentence")).join(known, "sentence")
+    hits = texts.select("doc_id", F.xxhash64("low").alias("tie"), "low").mapInArrow(_finder, "doc_id bigint, tie bigint, at int, code string")
     rows = hits.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set(F.struct("at", "code"))).alias("seq"))
     rows = rows.select("doc_id", "tie", F.expr("concat(' ', array_join(transform(seq, x -> x.code), ' '), ' ')").alias("ids"), F.expr("seq[0].at").alias("first_sentence"))
     found = rows.join(rules, F.expr("ids rlike pattern"))
