@@ -182,3 +182,13 @@ def test_change_stream(spark, tmp_path):
     seen = []
     watch.on_change(feed, lambda df, n: seen.extend((r["url"], r["run_id"]) for r in df.collect()), str(tmp_path / "ck")).awaitTermination(120)
     assert seen == [("u", "2")]
+
+
+def test_registered_map_site_keeps_every_host(spark, tmp_path):
+    from weftline.plans import queries
+
+    links = "".join(f'<a href="/p{k}">x</a>' for k in range(5100))
+    rows = [(1, "http://a.com/", f"<html><body>{links}</body></html>"), (2, "http://z.com/", "<html><body>last</body></html>")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["url"] for r in queries.map_site(spark, str(tmp_path)).collect()}
+    assert len(got) == 5102 and "http://z.com/" in got

@@ -89,9 +89,11 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, same_host: boo
     return out if max_pages is None else out.orderBy("depth", "url").limit(max_pages)
 
 
-def map_site(pages: DataFrame, seeds: DataFrame, max_urls: int = 5000, max_depth: int = 2, same_host: bool = True, sitemap: DataFrame | None = None) -> DataFrame:
-    """Sorted URLs found from the seeds and the site map; seeds are always followed."""
-    return crawl(pages, seeds, max_depth, same_host, None, sitemap).select("url").distinct().orderBy("url").limit(max_urls)
+def map_site(pages: DataFrame, seeds: DataFrame, max_urls: int | None = 5000, max_depth: int = 2, same_host: bool = True, sitemap: DataFrame | None = None) -> DataFrame:
+    """Sorted URLs found from the seeds and the site map, the first ``max_urls`` of all or, if None, each; seeds are
+    always followed."""
+    out = crawl(pages, seeds, max_depth, same_host, None, sitemap).select("url").distinct().orderBy("url")
+    return out if max_urls is None else out.limit(max_urls)
 
 
 def _locs(body: bytes) -> tuple[bool, list[str]]:
