@@ -84,35 +84,73 @@ def copies(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("hot,window", [(64, 48), (2, 48), (2, None)])
-def test_join_is_exact(spark, hot, window):
-    rows = copies(hot)
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.jaccard_join(docs(spark, rows), hot=hot, window=window).collect()}
-    assert got == brute_pairs(rows, jaccard.N, jaccard.THRESHOLD)
-
-
-def test_groups_and_deduplication(spark, monkeypatch):
-    rows = copies(5)
-    pairs = brute_pairs(rows, jaccard.N, jaccard.THRESHOLD)
-    root = {i: i for i, _ in rows}
+def brute_links(rows, n=jaccard.N, t=jaccard.THRESHOLD):
+    """{doc_id: (class, links)} by all pairs."""
+    pairs = brute_pairs(rows, n, t)
+    root, links = {i: i for i, _ in rows}, {i: 0 for i, _ in rows}
+    for a, b in pairs:
+        links[a], links[b] = links[a] + 1, links[b] + 1
     for _ in rows:
         for a, b in pairs:
             root[a] = root[b] = min(root[a], root[b])
-    kept = {r["doc_id"] for r in jaccard.deduplicate(docs(spark, rows)).collect()}
-    assert kept == {i for i, _ in rows if root[i] == i}
+    return {i: (root[i], links[i]) for i, _ in rows}
+
+
+def links(df):
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("hot,block,pivots", [(64, 2048, 64), (2, 2048, 0), (2, 8, 5), (64, 2048, 3)])
+def test_join_is_exact(spark, hot, block, pivots):
+    rows = copies(hot + pivots, 80)
+    assert links(jaccard.jaccard_join(docs(spark, rows), hot=hot, block=block, pivots=pivots)) == brute_links(rows)
+
+
+def near_group(seed, size, groups, edits, shared):
+    """Groups of near copies of long texts, each with a passage that all texts of all groups share."""
+    rng = random.Random(seed)
+    pool = [f"w{k}" for k in range(3000)]
+    passage = [rng.choice(pool) for _ in range(shared)]
+    rows = []
+    for _ in range(groups):
+        base = [rng.choice(pool) for _ in range(260)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(len(w))] = rng.choice(pool)
+            at = rng.randrange(len(w))
+            w[at:at] = passage
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
 
+@pytest.mark.parametrize("shared", [0, 150, 330])
+@pytest.mark.parametrize("hot,block,pivots", [(64, 2048, 64), (4, 16, 0)])
+def test_join_is_exact_whatever_is_common(spark, monkeypatch, shared, hot, block, pivots):
+    monkeypatch.setattr(jaccard, "COMMON", 0.005)
+    rows = near_group(shared, 12, 8, 40, shared)
+    assert links(jaccard.jaccard_join(docs(spark, rows), hot=hot, block=block, pivots=pivots)) == brute_links(rows)
 
-def test_components_both_ways(spark):
+
+def test_deduplication(spark):
+    rows = copies(5)
+    want = brute_links(rows)
+    assert {r["doc_id"] for r in jaccard.deduplicate(docs(spark, rows)).collect()} == {i for i, _ in rows if want[i][0] == i}
+
+
+def test_components(spark):
     rng = random.Random(3)
-    edges = [(a, b) for _ in range(80) if (a := rng.randrange(100)) != (b := rng.randrange(100))]
-    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
-    small = {(r["id"], r["label"]) for r in jaccard.components(df).collect()}
-    assert small == {(r["id"], r["label"]) for r in jaccard.components(df, alone=0).collect()}
+    edges = [(a, b) for _ in range(80) if (a := rng.randrange(100)) != (b := rng.randrange(100))] + [(k, k + 1) for k in range(200, 260)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {(r["id"], r["label"]) for r in jaccard.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)).collect()} == set(root.items())
 
 
 def test_join_odd(spark):
-    got = [(r["doc_a"], r["doc_b"]) for r in jaccard.jaccard_join(odd(spark)).collect()]
-    assert got == []
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(odd(spark)).collect())
+    assert got == [(i, i, 0) for i in (1, 2, 3, 4, 5, 6)]
     kept = jaccard.deduplicate(odd(spark))
     assert kept.columns == odd(spark).columns and kept.count() == 8
     assert jaccard.jaccard_join(docs(spark, [])).count() == 0

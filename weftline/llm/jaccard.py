@@ -1,33 +1,32 @@
-"""Exact n-gram Jaccard self-join in the metric space of Jaccard distance.
-
-Pivots.  With whole documents as pivots the distances of unrelated texts concentrate at 1, so a
-window of twice the join radius around any Voronoi border takes in every document and nothing is
-pruned.  The pivots here are therefore the single n-grams: d(x, {g}) is 1 - 1/|x| if x holds g and 1
-otherwise, so a document lies nearest to the n-grams it holds, and ties are broken by the n-gram's
-hash.  The Voronoi cell of a document is that of its first n-gram in hash order.
-
-Windows.  By the triangle inequality on symmetric differences, whose Steinhaus transform is the
-Jaccard distance, a partner at similarity ``t`` may miss at most |x| - ceil(t|x|) of x's n-grams.  So, in
-any fixed order of the cells, partners meet twice within their first |x| - ceil(t|x|) + 2 cells, and x is
-replicated to those.  The order is: cells of up to ``hot`` documents, then full ones, each by hash.  A
-document of at most ``window`` n-grams has all it needs at hand; of a longer one the first ``window`` by
-hash are looked at, and two such documents at similarity t miss each other with a probability below 1e-5
-while at most a third of their cells are full, and of some percent if nearly half are, hashes being
-uniform.  ``window=None`` looks at all and never misses.  Distance to the empty set gives the
-size window min(|x|, |y|) >= t max(|x|, |y|).
-
-Recursion.  Full cells are left out at first; documents whose window reaches into them, or lies by half
-in them, are joined again among themselves, inside these cells and in blocks.
-The candidates fall into connected regions, and each region is verified exactly, on whole n-gram
-sets.  Documents with equal n-gram sets (distance 0) travel as one and are spread out at the end.
-
-Defined cases: rows with a null doc_id and texts without words are in no pair; texts shorter than
-``n`` words have one n-gram of all their words; rows that repeat a doc_id are one document when
-their text is the same, and never a pair with each other; an empty table gives no pairs.
+"""Exact n-gram Jaccard self-join in the metric space of Jaccard distance d = 1 - J, radius r = 1 - ``threshold``.
+
+Regions.  ``pivots`` documents, sampled by hash, create Voronoi regions of bounded width: a document within
+``threshold / 2`` of a pivot lies in the region of the nearest one (ties: the first), all others in the far region.  By the
+triangle inequality a partner of a document at distance d of its pivot lies within d + r of that pivot, so documents
+up to ``threshold / 2`` + r away are replicated to the region as its window, and every linked pair meets in a region
+of which one of the two is a member: the far region if both are far, otherwise the first of their two regions.
+Sampled pivots hit what is frequent, so the regions take up the large groups of near copies; unrelated texts lie at distance 1
+from all pivots, where no window prunes, and make up the far region (figures in the README).
+
+Recursion.  Inside a region n-grams part the documents further.  n-grams with the same members are one cell of that
+weight.  A document's cells are ordered, rarest first; two documents at similarity t share weight t|x| at least, so
+their first common cell has that much weight left from there on in both, and each document is posted to such
+cells only.  A document whose shared n-grams together weigh less than t|x| has no partner and goes at once.  Cells of up to
+``hot`` documents are joined directly, larger ones in blocks.  In each, a pair counts only where the cell is its first common
+one, so it is counted once.  All tests are exact: weights are summed over all n-grams of the whole text.
+
+Links are counted where they are found; only counts and the edges of spanning trees leave a task, never all pairs of
+a group.  Documents with equal n-gram sets (distance 0) are joined as one.  n-grams that many of a bounded sample
+hold are salted.
+
+Defined cases: rows with a null doc_id take no part; texts without words are classes of their own without links; texts
+shorter than ``n`` words have one n-gram of all their words; rows that repeat a doc_id are one document when
+their text has the same n-grams, otherwise two; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,202 +36,391 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.grams import Words, blocks
+from weftline.llm.grams import Words, blocks, mix
 from weftline.llm.store import drop, written
 
 N = 3
 THRESHOLD = 0.6
-WINDOW = 48
 HOT = 64
 BLOCK = 2048
+PIVOTS = 64
+PIVOT_GRAMS = 20_000
+SAMPLE = 2048
+COMMON = 0.01
+SALTS = 64
+BUCKET = 20_000
+FIRST = 4
+EPS = 1e-9
+FOUND = "a bigint, b bigint, n bigint"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
 
 
-def _sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[int], list[np.ndarray]]]:
-    """(ids, row numbers, sorted distinct n-gram hashes) block by block, without empty sets."""
+def _sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(ids, sorted distinct n-gram hashes of each text) block by block."""
     for batch in batches:
         for base, arr in blocks(batch.column(1)):
             g, ptr = Words(arr).grams(n)
-            rows = np.flatnonzero(np.diff(ptr))
             sets = []
-            for r in rows:
-                s = np.sort(g[ptr[r] : ptr[r + 1]])
-                sets.append(s[np.append(True, s[1:] != s[:-1])])
-            yield batch.column(0).slice(base, len(arr)).take(pa.array(rows)), rows, sets
+            for lo, hi in zip(ptr[:-1].tolist(), ptr[1:].tolist()):
+                s = np.sort(g[lo:hi])
+                sets.append(s[np.append(True, s[1:] != s[:-1])] if hi - lo > 1 else s)
+            yield batch.column(0).slice(base, len(arr)), sets
 
 
-def _signer(n: int, window: int | None):
+def _key(s: np.ndarray) -> int:
+    """The class of a set of n-grams."""
+    return xxhash.xxh3_64_intdigest(s.tobytes(), 7) - (1 << 63)
+
+
+def _signer(n: int):
     def run(batches):
-        for ids, _, sets in _sets(n, batches):
-            cells = [s[:window].view(np.int64) for s in sets]
-            off = np.append(0, np.cumsum([len(c) for c in cells])).astype(np.int32)
-            flat = np.concatenate(cells) if cells else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
-                names=["id", "size", "fp", "cells"],
-            )
+        for ids, sets in _sets(n, batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())], names=["id", "k", "size"])
 
     return run
 
 
 def _setter(n: int):
     def run(batches):
-        for ids, _, sets in _sets(n, batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "grams"])
+        for _, sets in _sets(n, batches):
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["k", "grams"])
+
+    return run
+
+
+class Pivots:
+    """Overlaps of n-gram sets with up to 64 pivots."""
+
+    def __init__(self, sets: list[np.ndarray], t: float):
+        self.sizes, self.t = np.array([len(s) for s in sets], np.int64), t
+        every = np.concatenate([np.zeros(0, np.uint64), *sets])
+        bit = np.repeat(np.uint64(1) << np.arange(len(sets), dtype=np.uint64), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.grams, first = np.unique(every[order], return_index=True)
+        self.masks = np.bitwise_or.reduceat(bit[order], first) if len(first) else bit
+
+    def regions(self, s: np.ndarray) -> list[tuple[int, bool]]:
+        """(region, whether a member) of the document; region -1 is the far one."""
+        at = np.searchsorted(self.grams, s)
+        at[at == len(self.grams)] = 0
+        hit = at[self.grams[at] == s] if len(self.grams) else at[:0]
+        if not len(hit):
+            return [(-1, True)]
+        both = np.unpackbits(self.masks[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)[: len(self.sizes)].astype(np.int64)
+        near = both / (len(s) + self.sizes - both)
+        own = int(near.argmax()) if near.max() >= 1 - self.t / 2 - EPS else -1
+        # a pair of two regions counts in the first of them
+        window = [(int(p), False) for p in np.flatnonzero(near >= self.t / 2 - EPS) if own < 0 or p < own]
+        return [(own, True), *window]
+
+
+def _poster(n: int, pivots: Pivots, common: np.ndarray):
+    def run(batches):
+        seen: set[int] = set()  # a class is posted once by a task, however many copies it meets
+        for _, sets in _sets(n, batches):
+            keys, tags, hots, cells = [], [], [], []
+            for s in sets:
+                if not len(s) or (k := _key(s)) in seen:
+                    continue
+                seen.add(k)
+                hot = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(len(s), bool)
+                for region, member in pivots.regions(s):
+                    g = s if region < 0 else mix(s ^ mix(np.uint64(region + 1) * np.ones(1, np.uint64)))
+                    for flag in (False, True):
+                        if (part := g[hot == flag]).size:
+                            keys.append(k)
+                            tags.append(2 * (region + 1) + member)
+                            hots.append(flag)
+                            cells.append(part)
+            off = np.append(0, np.cumsum([len(c) for c in cells])).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *cells]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tags, pa.int32()), pa.array(hots, pa.bool_()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["k", "tag", "hot", "cells"])
 
     return run
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least member of each component of the edges seen, as edges (a, b) with b the least."""
-    up: dict[int, int] = {}
+def _sampled(texts: DataFrame, classes: DataFrame, n: int, t: float, pivots: int) -> tuple[Pivots, np.ndarray]:
+    """The pivots, and the n-grams that at least ``COMMON`` of ``SAMPLE`` classes, those of the least hash, hold."""
+    ids = classes.where(f"size <= {PIVOT_GRAMS}").orderBy("k").limit(SAMPLE).select(F.col("rep").alias("id"))
+    sets = written(texts.join(F.broadcast(ids), "id").mapInArrow(_setter(n), "k bigint, grams array<bigint>").dropDuplicates(["k"]), "sample")
+    chosen = sets.orderBy("k").limit(min(pivots, 64)).toArrow()["grams"].to_pylist()
+    common = sets.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > COMMON * SAMPLE).toArrow()["g"].to_numpy()
+    drop(sets)
+    return Pivots([np.array(s, np.int64).view(np.uint64) for s in chosen if s], t), np.sort(common.view(np.uint64))
+
+
+def _profiles(texts: DataFrame, classes: DataFrame, n: int, t: float, pivots: int) -> DataFrame:
+    """(ck, k, size, mult, core, cells) of the documents, in each of their regions, that may have a partner; ``cells`` are
+    (members, cell, weight) of all that they share with others, rarest first."""
+    chosen, common = _sampled(texts, classes, n, t, pivots)
+    post = texts.mapInArrow(_poster(n, chosen, common), "k bigint, tag int, hot boolean, cells array<bigint>")
+    post = post.select("k", "tag", F.expr(f"CASE WHEN hot THEN CAST(pmod(k, {SALTS}) AS int) ELSE -1 END").alias("salt"), F.explode("cells").alias("g"))
+    once = post.selectExpr("*", "lag(k) OVER (PARTITION BY g, salt ORDER BY k) AS before").where("before IS NULL OR before <> k")
+    over = "OVER (PARTITION BY g, salt)"
+    held = written(once.selectExpr("g", "k", "tag", "salt", f"count(1) {over} AS n", f"bit_xor(xxhash64(k, shiftright(tag, 1))) {over} AS s").where("n > 1 OR salt >= 0").select("g", "k", "tag", "salt", "n", "s"), "cells")
+    cold = held.where("salt < 0").select("k", "tag", "n", "s")
+    if len(common):
+        part = held.where("salt >= 0").groupBy("g", "salt").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+        # as many rows as there are common n-grams and regions that hold them, whatever the table's size
+        whole = part.groupBy("g").agg(F.sum("n").alias("n"), F.expr("bit_xor(s)").alias("s")).where("n > 1")
+        cold = cold.unionByName(held.where("salt >= 0").select("g", "k", "tag").join(F.broadcast(whole), "g").select("k", "tag", "n", "s"))
+    own = cold.repartition("k").groupBy("k", "tag", "n", "s").agg(F.count(F.lit(1)).alias("w"))
+    own = own.groupBy("k", "tag").agg(F.sum("w").alias("total"), F.sort_array(F.collect_list(F.struct("n", "s", F.col("w").cast("int").alias("w")))).alias("cells"))
+    mine = own.hint("merge").join(classes, "k").where(f"total >= ceil({t}D * size - {EPS}D)")
+    out = written(mine.selectExpr("xxhash64(k, tag) AS ck", "k", "size", "mult", "tag % 2 = 1 AS core", "cells"), "profiles")
+    drop(held)
+    return out
 
-    def find(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up[y] if y in up else y
-        return x
 
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, y = find(a), find(b)
-            if x < y:
-                up[y] = x
-            elif y < x:
-                up[x] = y
-    if up:
-        nodes = list(up)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["a", "b"])
-
-
-def components(edges: DataFrame, label: str = "components", alone: int = 2_000_000) -> DataFrame:
-    """(id, label): the least id of each connected component of edges (a, b).
-
-    Each task first reduces its edges to a forest.  Up to ``alone`` forest edges are merged by one task;
-    more by rounds of least-label propagation with pointer jumping over all tasks.
-    """
-    trees = written(edges.select("a", "b").mapInArrow(_forest, "a bigint, b bigint"), label)
-    if trees.count() <= alone:
-        merged = written(trees.repartition(1).mapInArrow(_forest, "id bigint, label bigint"), label)
-        drop(trees)
-        return merged
-    both = written(trees.where("a <> b").select("a", "b").union(trees.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))), label)
-    now = last = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), label)
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, members, cells, weights) of a column of cell lists."""
+    flat = column.flatten()
+    off = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    return off.astype(np.int64), *(flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+
+
+def _left(off: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weight from each cell of a list on."""
+    before = np.append(0, np.cumsum(w, dtype=np.int64))
+    return np.repeat(before[off[1:]], np.diff(off)) - before[:-1]
+
+
+def _prefixes(t: float):
+    """Postings of the documents in cells from which on enough weight is left."""
+
+    def run(batches):
+        for batch in batches:
+            off, n, s, w = _lists(batch.column("cells"))
+            left = _left(off, w)
+            row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            size = batch.column("size").to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(left >= np.ceil(t * size[row] - EPS))
+            first = [s[np.minimum(off[:-1] + i, off[1:] - 1)][row[at]] if len(s) else s for i in range(FIRST)]
+            cols = batch.take(pa.array(row[at]))
+            first = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(first, 1).ravel()), FIRST).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(n[at]), cols.column("ck"), cols.column("size"), pa.array(left[at]), cols.column("core"), first], names=["s", "n", "ck", "size", "rest", "core", "e"])
+
+    return run
+
+
+def _trees(ids: np.ndarray, a: np.ndarray, b: np.ndarray, mult: np.ndarray) -> pd.DataFrame:
+    """For each class with links (a, b: indexes), the least class of its tree and how many documents it is linked to."""
+    n = np.bincount(a, mult[b], len(ids)) + np.bincount(b, mult[a], len(ids))
+    label = np.arange(len(ids))
     while True:
-        near = both.join(now.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = written(now.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")), label)
-        jump = step.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        done = written(step.join(jump, "label", "left").select("id", "old", F.least("label", "root").alias("label")), label)
-        drop(step, last)
-        now, last = done.select("id", "label"), done
-        if done.where("label < old").isEmpty():
-            drop(trees, both)
-            return now
+        low = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            break
+        label = low
+    root = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(root, label, ids)
+    on = np.flatnonzero(n)
+    return pd.DataFrame({"a": ids[on], "b": root[label[on]], "n": n[on].astype(np.int64)})
+
+
+def _bucket(t: float):
+    """Pairs met in small cells, checked on whole profiles."""
+
+    def run(pairs: pa.Table, docs: pa.Table) -> pa.Table:
+        docs = docs.combine_chunks()
+        off, _, s, w = _lists(docs["cells"].combine_chunks() if docs.num_rows else pa.array([], docs.schema.field("cells").type))
+        ck, size, mult, ids = (docs[c].to_numpy() for c in ("ck", "size", "mult", "k"))
+        order = np.argsort(ck)
+        at = [order[np.searchsorted(ck, pairs[c].to_numpy(), sorter=order)] for c in ("x", "y")]
+        cell = pairs["s"].to_numpy()
+        known, code = np.unique(s, return_inverse=True)
+        row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        key = row * len(known) + code
+        sort = np.argsort(key)
+        key, weight = key[sort], w[sort]
+        good = np.zeros(len(cell), bool)
+        step = 0
+        length = np.diff(off)[at[0]]
+        ends = np.cumsum(length)
+        while step < len(cell):  # about a million list entries at a time
+            to = max(step + 1, int(np.searchsorted(ends, (ends[step - 1] if step else 0) + (1 << 20))))
+            x, y, k = at[0][step:to], at[1][step:to], length[step:to]
+            pair = np.repeat(np.arange(len(x)), k)
+            src = np.repeat(off[x], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            want = np.repeat(y, k) * len(known) + code[src]
+            pos = np.searchsorted(key, want)
+            pos[pos == len(key)] = 0
+            hit = key[pos] == want
+            both = np.bincount(pair[hit], weight[pos[hit]], len(x))
+            first = np.unique(pair[hit], return_index=True)
+            lead = np.zeros(len(x), s.dtype)
+            lead[first[0]] = s[src[hit][first[1]]]
+            good[step:to] = (lead == cell[step:to]) & (both >= t * (size[x].astype(np.int64) + size[y] - both) - EPS)
+            step = to
+        found = _trees(ids, at[0][good], at[1][good], mult)
+        return pa.Table.from_pandas(found, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]), preserve_index=False)
 
+    return run
 
-def candidates(reps: DataFrame, t: float, hot: int) -> DataFrame:
-    """Pairs (a, b), a < b, of (id, size, cells) rows that pass the size window and share as many cells as
-    similarity ``t`` makes all but certain (4.3 standard deviations, and two at least)."""
-    # one shuffle by cell serves the counts and the lists of the cells that aren't full
-    post = reps.select("id", "size", F.posexplode("cells").alias("rank", "g"))
-    n = "count(1) OVER (PARTITION BY g)"
-    held = written(post.selectExpr("g", "id", "size", f"{n} AS n").where("n > 1"), "cells")
-    cold = held.where(F.col("n") <= hot).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("id", "size"))).alias("m"))
-    pairs = cold.selectExpr(f"""explode(flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)),
-        y -> y.id > x.id AND least(x.size, y.size) >= {t} * greatest(x.size, y.size)), y -> struct(x.id AS a, y.id AS b))))) AS p""").select("p.a", "p.b")
-    full = held.where(F.col("n") > hot)
-    # of each document: cells in its window, those not full, and whether most are full
-    about = reps.select("id", "size", F.size("cells").alias("k")).join(full.groupBy("id").agg(F.count(F.lit(1)).alias("h")), "id", "left").selectExpr("id", "k", "k - coalesce(h, 0) AS c", f"2 * coalesce(h, 0) >= k OR size = k AND k - coalesce(h, 0) < size - ceil({t}D * size - 1e-9D) + 2 AND h > 0 AS sunk")
-    again = written(full.join(about.where("sunk").select("id"), "id", "left_semi").selectExpr("g", "id", "size", f"{n} AS n").where("n > 1"), "full-cells")
-    # a cell of n documents is joined in ceil(n / BLOCK) blocks
-    left = again.selectExpr("g", "id AS a", "size AS sa", f"pmod(hash(id), ceil(n / {BLOCK})) AS block")
-    right = again.selectExpr("g", "id AS b", "size AS sb", f"explode(sequence(0, ceil(n / {BLOCK}) - 1)) AS block")
-    deep = left.join(right, ["g", "block"]).where(f"a < b AND least(sa, sb) >= {t} * greatest(sa, sb)").select("a", "b")
-    met = pairs.unionAll(deep).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s")).where("s > 1")
-    for side in ("a", "b"):
-        met = met.join(about.selectExpr(f"id AS {side}", f"k AS k{side}", f"c AS c{side}", f"sunk AS sunk{side}"), side)
-    # cells that are full were compared only if both are sunk: m cells were compared, and of those left out
-    # at most the share ``out`` of the window can have been in common
-    met = met.selectExpr("a", "b", "s", "if(sunka AND sunkb, least(ka, kb), least(ca, cb)) AS m", "if(sunka AND sunkb, 0.0D, least(1 - ca / ka, 1 - cb / kb) + 0.05D) AS out")
-    met = met.selectExpr("a", "b", "s", "m", f"greatest(0.0D, ({t} - out) / (1 - out)) AS j")
-    found = written(met.where("s >= floor(m * j - 4.3D * sqrt(m * j * (1 - j)))").select("a", "b"), "candidates")
-    drop(held, again)
-    return found
 
+def _open_pairs(t: float, cell: int, block: np.ndarray, cross: bool, size, rest, core, first, lo: int, hi: int) -> np.ndarray:
+    """Of rows lo:hi with all rows after them, which may be linked and have this cell as their first common one."""
+    n = len(size)
+    x, y = slice(lo, hi), slice(lo, n)
+    ok = np.minimum(rest[x, None], rest[None, y]) >= t / (1 + t) * (size[x, None] + size[None, y]) - 1e-6
+    ok &= core[x, None] | core[None, y]
+    ok &= np.arange(lo, hi)[:, None] < np.arange(lo, n)[None]
+    if cross:
+        ok &= block[x, None] != block[None, y]
+    late = np.cumsum(first[x] == cell, axis=1) > 0  # from the cell itself on
+    for i in range(first.shape[1]):
+        for j in range(first.shape[1]):
+            ok &= (first[x, i, None] != first[None, y, j]) | late[:, i, None]
+    return ok
+
+
+def _wanted(t: float):
+    """The documents of a block of a full cell that have an open pair there."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cols = [pdf[c].to_numpy() for c in ("i", "size", "rest", "core")]
+        first = np.stack(pdf["e"].to_numpy())
+        on = np.zeros(len(pdf), bool)
+        for lo in range(0, len(pdf), 256):
+            ok = _open_pairs(t, key[0], cols[0], key[1] != key[2], *cols[1:], first, lo, min(lo + 256, len(pdf)))
+            on[lo : lo + 256] |= ok.any(1)
+            on[lo:] |= ok.any(0)
+        return pdf.loc[on, ["s", "bi", "bj", "i", "ck"]]
 
-def _verify(t: float):
-    def run(key: tuple, pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        at = {i: np.frombuffer(s, np.uint64) for i, s in zip(docs["id"], docs["grams"])}
-        out = []
-        for a, part in pairs.groupby("a"):
-            x = at[a]
-            for b in part["b"]:
-                y = at[b]
-                k = np.searchsorted(x, y)
-                k[k == len(x)] = 0
-                both = int((x[k] == y).sum())
-                j = both / (len(x) + len(y) - both)
-                if j >= t:
-                    out.append((a, b, j))
-        return pd.DataFrame(out, columns=["a", "b", "jaccard"]).astype({"a": "int64", "b": "int64", "jaccard": "float64"})
+    return run
+
+
+def _block(t: float):
+    """A block of a full cell, checked by products of weight matrices."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lists = list(pdf["cells"])
+        off = np.append(0, np.cumsum([len(c) for c in lists]))
+        s = np.concatenate([np.fromiter((x["s"] for x in c), np.int64, len(c)) for c in lists])
+        w = np.concatenate([np.fromiter((x["w"] for x in c), np.float32, len(c)) for c in lists])
+        left = _left(off, w.astype(np.int64))
+        row = np.repeat(np.arange(len(lists)), np.diff(off))
+        here = np.flatnonzero(s == key[0])
+        place = np.zeros(len(lists), np.int64)
+        place[row[here]] = here
+        block, size, core = pdf["i"].to_numpy(), pdf["size"].to_numpy(np.int64), pdf["core"].to_numpy(bool)
+        first = np.stack([s[np.minimum(off[:-1] + i, off[1:] - 1)] for i in range(FIRST)], 1)
+        known, code, count = np.unique(s, return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1
+        keep = count[code] > 1
+        early = np.arange(len(s)) < place[row]
+        r, c, v, e = row[keep], shared[code[keep]], w[keep], early[keep]
+        n = len(lists)
+        pairs = [[], []]
+        for lo in range(0, n, 512):
+            hi = min(lo + 512, n)
+            ok = _open_pairs(t, key[0], block, key[1] != key[2], size, left[place], core, first, lo, hi)
+            if not ok.any():
+                continue
+            both, before = np.zeros(ok.shape, np.float32), np.zeros(ok.shape, np.float32)
+            for k in range(0, int(shared[-1]) + 1, 1024):
+                m = (c >= k) & (c < k + 1024) & (r >= lo)
+                one, all_w, soon = (np.zeros((n - lo, 1024), np.float32) for _ in range(3))
+                one[r[m] - lo, c[m] - k] = 1
+                all_w[r[m] - lo, c[m] - k] = v[m]
+                soon[r[m] - lo, c[m] - k] = e[m]
+                both += all_w[: hi - lo] @ one.T
+                before += soon[: hi - lo] @ soon.T
+            ok &= (before == 0) & (both >= t * (size[lo:hi, None] + size[None, lo:] - both) - EPS)
+            x, y = np.nonzero(ok)
+            pairs[0].append(x + lo)
+            pairs[1].append(y + lo)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *p]) for p in pairs)
+        return _trees(pdf["k"].to_numpy(np.int64), a, b, pdf["mult"].to_numpy(np.int64))
 
     return run
 
 
-def _joined(docs: DataFrame, n: int, t: float, window: int | None, hot: int) -> tuple[DataFrame, DataFrame]:
-    """((id, rep) of every document, verified pairs (a, b, jaccard) of representatives)."""
+def _links(profiles: DataFrame, t: float, hot: int, block: int) -> DataFrame:
+    """(a, b, n): class a is linked to n documents that were met in one place, b the least class of its tree there."""
+    posts = written(profiles.mapInArrow(_prefixes(t), "s bigint, n bigint, ck bigint, size int, rest bigint, core boolean, e array<bigint>"), "postings")
+    small = posts.where(F.col("n") <= hot).groupBy("s").agg(F.collect_list(F.struct("ck", "size", "rest", "core", "e")).alias("m")).where("size(m) > 1")
+    share = t / (1 + t)
+    pairs = small.selectExpr("s", f"""explode(flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)),
+        y -> (x.core OR y.core) AND least(x.rest, y.rest) >= {share}D * (x.size + y.size) - 1e-6D AND (x.e[0] <> y.e[0] OR x.e[0] = s)
+        AND coalesce(get(array_intersect(x.e, y.e), 0), s) = s), y -> struct(x.ck AS x, y.ck AS y))))) AS p""").select("s", "p.x", "p.y")
+    pairs = written(pairs, "pairs")
+    buckets = max(1, math.ceil(pairs.count() / BUCKET))
+    at = F.expr(f"CAST(pmod(xxhash64(s), {buckets}) AS int)").alias("bucket")
+    pairs_at = pairs.select(at, "s", "x", "y")
+    need = pairs.select(at, F.col("x").alias("ck")).union(pairs.select(at, F.col("y").alias("ck"))).distinct()
+    lists = need.hint("merge").join(profiles, "ck").select("bucket", "ck", "k", "size", "mult", "cells")
+    out = pairs_at.groupBy("bucket").cogroup(lists.groupBy("bucket")).applyInArrow(_bucket(t), FOUND)
+    # a full cell of n documents is joined in blocks, each with itself and each other
+    full = posts.where(F.col("n") > hot).selectExpr("*", f"CAST(ceil(n / {block}) AS int) AS nb").selectExpr("*", "CAST(pmod(hash(ck), nb) AS int) AS i")
+    full = full.selectExpr("*", "explode(sequence(0, nb - 1)) AS j").selectExpr("s", "least(i, j) AS bi", "greatest(i, j) AS bj", "i", "ck", "size", "rest", "core", "e")
+    wanted = written(full.groupBy("s", "bi", "bj").applyInPandas(_wanted(t), "s bigint, bi int, bj int, i int, ck bigint"), "wanted")
+    met = wanted.hint("merge").join(profiles, "ck").groupBy("s", "bi", "bj").applyInPandas(_block(t), FOUND)
+    found = written(out.unionByName(met), "links")
+    drop(posts, pairs, wanted)
+    return found
+
+
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """(id, label): the least id of each connected component of edges (a, b), by rounds of least-label propagation with
+    pointer jumping."""
+    ends = edges.select("a", "b")
+    both = written(ends.union(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), label)
+    now = last = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), label)
+    while True:
+        near = both.hint("merge").join(now.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step = written(now.hint("merge").join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")), label)
+        jump = step.select(F.col("id").alias("label"), F.col("label").alias("root"))
+        done = written(step.hint("merge").join(jump, "label", "left").select("id", "old", F.least("label", "root").alias("label")), label)
+        drop(step, last)
+        now, last = done.select("id", "label"), done
+        if done.where("label < old").isEmpty():
+            drop(both)
+            return now
+
+
+def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, hot: int = HOT, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """A row per document: doc_id, class_id (the least doc_id of all that links lead to), n_links (how many other documents
+    are at n-gram Jaccard similarity ``threshold`` or more)."""
     texts = _texts(docs)
-    signed = written(texts.mapInArrow(_signer(n, window), "id bigint, size int, fp binary, cells array<bigint>"), "signed")
-    rep = signed.groupBy("fp").agg(F.min("id").alias("rep"))
-    members = written(signed.select("id", "fp").distinct().join(rep, "fp").select("id", "rep"), "members")
-    reps = signed.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["fp"]).select("id", "size", "cells")
-    found = candidates(reps, t, hot)
-    region = components(found, "regions")
-    wide = region.groupBy("label").count().selectExpr("label", f"CAST(ceil(count / {BLOCK}) AS int) AS nb")
-    where = written(region.join(wide, "label"), "regions")
-    side = "pmod(hash({0}), nb)"
-    pairs = found.join(where.withColumnRenamed("id", "a"), "a").selectExpr("label", "a", "b", f"{side.format('a')} AS i", f"{side.format('b')} AS j")
-    grams = texts.join(where.select("id"), "id", "left_semi").mapInArrow(_setter(n), "id bigint, grams binary").join(where, "id")
-    own = side.format("id")
-    grams = grams.selectExpr("label", "id", "grams", f"explode(array_distinct(concat(transform(sequence(0, nb - 1), o -> struct({own} AS i, o AS j)), transform(sequence(0, nb - 1), o -> struct(o AS i, {own} AS j))))) AS at")
-    grams = grams.select("label", "id", "grams", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
-    checked = pairs.groupBy("label", "i", "j").cogroup(grams.groupBy("label", "i", "j")).applyInPandas(_verify(t), "a bigint, b bigint, jaccard double")
-    verified = written(checked, "verified")
-    drop(signed, found, region, where)
-    return members, verified
-
-
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, window: int | None = WINDOW, hot: int = HOT) -> DataFrame:
-    """All pairs of documents at n-gram Jaccard similarity ``threshold`` or more: doc_a < doc_b, jaccard."""
-    members, pairs = _joined(docs, n, threshold, window, hot)
-    x, y = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
-    near = pairs.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    same = x.join(y.withColumnRenamed("b", "a"), "a").where("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same)
-
-
-def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, window: int | None = WINDOW, hot: int = HOT) -> DataFrame:
-    """(id, keep_id) of every document in a near-duplicate group; ``keep_id`` is the group's least doc_id."""
-    members, pairs = _joined(docs, n, threshold, window, hot)
-    root = components(pairs, "groups")
-    out = members.join(root.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("keep_id"))
-    drop(pairs)
-    return out
+    signed = written(texts.mapInArrow(_signer(n), "id bigint, k bigint, size int").distinct(), "signed")
+    classes = written(signed.where("size > 0").groupBy("k").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("size").alias("size")), "classes")
+    profiles = _profiles(texts, classes, n, threshold, pivots)
+    found = _links(profiles, threshold, hot, block)
+    label = components(found)
+    links = found.groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("n"))
+    top = classes.hint("merge").join(links, "k").join(label.withColumnRenamed("id", "k").hint("merge"), "k")
+    top = written(top.selectExpr("k", "label", "rep", "n + mult - 1 AS n"), "linked")
+    least = top.groupBy("label").agg(F.min("rep").alias("class_id"))
+    top = top.hint("merge").join(least, "label").select("k", "class_id", "n")
+    every = classes.hint("merge").join(top.hint("merge"), "k", "left").selectExpr("k", "coalesce(class_id, rep) AS class_id", "coalesce(n, mult - 1) AS n_links")
+    out = signed.where("size > 0").hint("merge").join(every, "k").select(F.col("id").alias("doc_id"), "class_id", "n_links")
+    none = signed.where("size = 0").selectExpr("id AS doc_id", "id AS class_id", "0L AS n_links")
+    drop(profiles, found)
+    return out.unionByName(none)
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without those whose document is in a group with a smaller doc_id.  Rows
+    """The rows of ``docs`` without those whose document is in a class with a smaller doc_id.  Rows
     with a null doc_id or no words stay; rows that repeat one doc_id share its fate."""
-    gone = groups(docs, **options).where("id <> keep_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = jaccard_join(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.hint("merge").join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
-ORACLE = f"""WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+ORACLE = f"""WITH RECURSIVE words AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
 grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) END) AS g FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT a::BIGINT AS doc_a, b::BIGINT AS doc_b, k / (sa.n + sb.n - k) AS jaccard FROM shared JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b
-WHERE k / (sa.n + sb.n - k) >= {THRESHOLD}"""
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b WHERE k / (sa.n + sb.n - k) >= {THRESHOLD}),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a), linked AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id::BIGINT AS doc_id, least(doc_id, coalesce(m.b, doc_id))::BIGINT AS class_id, coalesce(l.n, 0)::BIGINT AS n_links
+FROM words LEFT JOIN least_of m ON m.a = doc_id LEFT JOIN linked l ON l.a = doc_id"""
