@@ -320,6 +320,41 @@ def test_pieces_of_long_sentences(parts, window):
     assert [n for _, n in got] == [len(encode(data[a:b].tobytes().decode())) for a, b in zip(starts, starts[1:])] and all(n <= window for _, n in got)
 
 
+def test_packing_does_not_depend_on_ids(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["word.", "other", "third!", "日本。語", "是。」だ"]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    spans = []
+    for ids in (range(300), range(0, 300 * 1024, 1024), [None] * 300, [7] * 300):
+        wins = packing.pack(docs(spark, list(zip(ids, texts))), window=64, shard=50).collect()
+        assert len({w["shard"] for w in wins}) == 6
+        spans.append((len(wins), [(w["shard"], w["n_tokens"], w["starts"]) for w in sorted(wins, key=lambda w: (w["shard"], w["window"]))]))
+    assert spans[0] == spans[1] and abs(spans[2][0] - spans[0][0]) <= 6 and spans[2] == spans[3]
+
+
+def test_packing_against_one_plain_run(spark):
+    rng = random.Random(10)
+    rows = [(rng.randrange(10**9), " ".join(rng.choice(["word.", "other", "third!"]) for _ in range(rng.randint(1, 60)))) for _ in range(90)]
+    encode = vocab.encoding(vocab.read()).encode_ordinary
+    plain = []
+    for lo in range(0, 90, 32):
+        held = []
+        for d, t in sorted(rows)[lo : lo + 32]:
+            cut = [0, *(m.end() - 1 for m in re.finditer(r"[.!] ", t)), len(t)]
+            held.append((d, [len(encode(t[a:b])) for a, b in zip(cut, cut[1:]) if a < b], [b for a, b in zip(cut, cut[1:]) if a < b], []))
+        plain += packing.pack_shard(held, 64, packing.TRUNCATION, packing.HARD_TRUNCATION)
+    got = sorted(packing.pack(docs(spark, rows), window=64, shard=32).collect(), key=lambda w: (w["shard"], w["window"]))
+    assert [tuple(w)[2:] for w in got] == plain
+
+
+def test_sentence_ends():
+    blob = vocab.read()
+    text = "One. Two? 三。四！」五 six\nseven। eight"
+    data, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    at = packing._sentences(data, off, fsm.borders(data, off))
+    parts = [data[a:b].tobytes().decode() for a, b in zip(at, [*at[1:], len(data)])]
+    assert parts == ["One.", " Two?", " 三。", "四！」", "五 six", "\nseven।", " eight"]
+
+
 def test_packing_odd(spark):
     got = packing.pack(odd(spark)).collect()
     ids = [d for w in got for d in w["doc_ids"]]

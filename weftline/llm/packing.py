@@ -1,8 +1,8 @@
 """Order-preserving packing of documents into fixed windows by dynamic programming.
 
-The documents of a shard (``shard`` consecutive doc_ids) are laid end to end as sentences with
-token counts.  Windows are cut at sentence ends.  With S the running token count, the least cost of packing
-the first i sentences is
+The documents are ranked by (doc_id, hash of the text).  Those of a shard (``shard`` consecutive ranks, whatever their
+ids are) are laid end to end as sentences with token counts.  Windows are cut at sentence ends.  With S the running token
+count, the least cost of packing the first i sentences is
 
     f(i) = penalty(i) + min over j with S(i) - S(j) <= window of f(j) + window - (S(i) - S(j))
 
@@ -12,11 +12,15 @@ longer than a window is first cut into the longest pieces that fit one, each cut
 ``hard_truncation``: between pre-tokens, inside a longer pre-token between tokens, and between
 characters where a window's length of tokens all begin inside one.  Each piece has its own text's token count.  Of equal costs the earliest cut, the longest window, is taken.
 
-Only counts travel: the text stays where it is, and each window lists the character spans it holds.
+A sentence ends at a newline, at . ! ? before white space, and at the full stops of other scripts, with one closing
+mark after them.
 
-Defined cases: null or empty texts take no part; rows with a null doc_id form a shard of their own,
-ordered by their text's hash; rows that repeat a doc_id stay next to each other, ordered by that hash; an
-empty table gives no windows.
+Only counts travel: the text stays where it is, and each window lists the character spans it holds.  Ranks come from a
+range partitioning of the counts and the row counts of its ranges, so no task sees more than its range.
+
+Defined cases: null or empty texts take no part and no rank; rows with a null doc_id come first, ordered by their text's
+hash, in shards of their own number as any others; rows that repeat a doc_id stay next to each other, ordered by that
+hash; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -32,11 +36,16 @@ from pyspark.sql import functions as F
 
 from weftline.llm import fsm, vocab
 from weftline.llm.grams import blocks, raw
+from weftline.llm.store import drop, written
 
 WINDOW = 2048
 TRUNCATION = 64
 HARD_TRUNCATION = 512
 SHARD = 1024
+STOPS = np.array([ord(c) for c in "。！？｡．…؟۔।॥։።፧፨᙮။‼⁇⁈⁉"], np.uint32)
+CLOSERS = np.array([ord(c) for c in "\"')]}»”’」』）】》〉〕］"], np.uint32)
+SIZED = "doc_id bigint, tie bigint, tokens array<int>, ends array<int>, hard array<int>"
+COUNTED = "doc_id bigint, tokens array<int>, ends array<int>, hard array<int>, place int, at bigint"
 SCHEMA = "shard bigint, window int, n_tokens int, padding int, cut string, doc_ids array<bigint>, starts array<int>, ends array<int>"
 
 
@@ -66,9 +75,14 @@ def cuts(counts: list[int], penalty: list[float], window: int) -> tuple[float, l
 
 
 def _sentences(data: np.ndarray, off: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """Byte positions where a new sentence begins: after . ! ? or a newline, at a pre-token border."""
+    """Byte positions where a new sentence begins: after . ! ?, a stop of another script or a newline, at a pre-token border."""
     stop = np.zeros(len(data), bool)
     stop[1:] = np.isin(data[:-1], np.frombuffer(b".!?", np.uint8)) & np.isin(data[1:], np.frombuffer(b" \n\t\r", np.uint8))
+    if (data >= 0xC2).any():
+        points, at = fsm._decode(data)
+        full = np.isin(points, STOPS)
+        full[1:] |= full[:-1] & np.isin(points[1:], CLOSERS)
+        stop[at[np.flatnonzero(full[:-1]) + 1]] = True
     stop |= data == 10
     stop[1:] &= ~((data[1:] == 10) & (data[:-1] == 10))
     stop &= mark
@@ -204,7 +218,7 @@ def pack_shard(docs: list[tuple], window: int, truncation: float, hard: float) -
 
 def _packer(window: int, truncation: float, hard: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "tie"], kind="stable")
+        pdf = pdf.sort_values("rank")
         ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
         docs = [(i, t.tolist(), e.tolist(), c.tolist()) for i, t, e, c in zip(ids, pdf["tokens"], pdf["ends"], pdf["hard"])]
         rows = pack_shard(docs, window, truncation, hard)
@@ -216,10 +230,30 @@ def _packer(window: int, truncation: float, hard: float):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their range and their number in it."""
+    from pyspark import TaskContext
+
+    place, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        at = np.arange(n, n + batch.num_rows)
+        n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, place), pa.int32()), pa.array(at, pa.int64())], names=[x.split()[0] for x in COUNTED.split(", ")])
+
+
 def pack(docs: DataFrame, window: int = WINDOW, truncation: float = TRUNCATION, hard_truncation: float = HARD_TRUNCATION, shard: int = SHARD, vocabulary: str = vocab.DEFAULT) -> DataFrame:
     """Windows in order within each shard: the documents and character spans they hold, tokens and padding."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    sized = rows.mapInArrow(_measure(vocab.read(vocabulary), window), "doc_id bigint, tie bigint, tokens array<int>, ends array<int>, hard array<int>")
-    # a shard's width is fixed, so that shards grow in number and never in size
-    sharded = sized.withColumn("shard", F.expr(f"CAST(floor(doc_id / {shard}) AS bigint)"))
+    sized = written(rows.mapInArrow(_measure(vocab.read(vocabulary), window), SIZED), "sized")
+    order = ["doc_id", "tie", "size", "uid"]
+    # the range partitioner samples its input: it reads the written counts, not the tokenizer; uid parts equal rows
+    ranged = sized.withColumn("uid", F.monotonically_increasing_id()).withColumn("size", F.size("tokens")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = written(ranged.select("doc_id", "tokens", "ends", "hard").mapInArrow(_counted, COUNTED), "ranged")
+    drop(sized)
+    held = sorted((x["place"], x["count"]) for x in ranged.groupBy("place").count().collect())  # a row per range
+    offsets = dict(zip((p for p, _ in held), np.append(0, np.cumsum([n for _, n in held])).tolist()))
+    spark = docs.sparkSession
+    before = F.broadcast(spark.createDataFrame([*offsets.items()], "place int, before bigint"))
+    ranked = ranged.join(before, "place").withColumn("rank", F.col("before") + F.col("at"))
+    sharded = ranked.select("rank", "doc_id", "tokens", "ends", "hard", F.expr(f"CAST(floor(rank / {shard}) AS bigint)").alias("shard"))
     return sharded.groupBy("shard").applyInPandas(_packer(window, truncation, hard_truncation), SCHEMA)
