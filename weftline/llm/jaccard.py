@@ -16,8 +16,11 @@ cells only.  A document whose shared n-grams together weigh less than t|x| has n
 one, so it is counted once.  All tests are exact: weights are summed over all n-grams of the whole text.
 
 Links are counted where they are found; only counts and the edges of spanning trees leave a task, never all pairs of
-a group.  Documents with equal n-gram sets (distance 0) are joined as one.  n-grams that many of a bounded sample
-hold are salted.
+a group.  Documents with equal n-gram sets (distance 0) are joined as one.
+
+Postings travel as arrays, a row for each slice of the n-grams' hash range and some millions of postings of a task; the number of
+slices grows with the table, so that a slice holds about ``SLICE`` postings.  n-grams that many of a bounded
+sample hold go to slices by document instead, and their members are added up from these.
 
 Defined cases: rows with a null doc_id take no part; texts without words are classes of their own without links; texts
 shorter than ``n`` words have one n-gram of all their words; rows that repeat a doc_id are one document when
@@ -47,9 +50,10 @@ PIVOTS = 64
 PIVOT_GRAMS = 20_000
 SAMPLE = 2048
 COMMON = 0.01
-SALTS = 64
-BUCKET = 20_000
-FIRST = 4
+BUCKET = 5_000
+SLICE = 1_500_000
+FLUSH = 2_000_000
+FIRST = 8
 EPS = 1e-9
 FOUND = "a bigint, b bigint, n bigint"
 
@@ -117,69 +121,219 @@ class Pivots:
         return [(own, True), *window]
 
 
-def _poster(n: int, pivots: Pivots, common: np.ndarray):
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of an array, the first ones of all numbers first, which compresses better."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+#: the copies (a document in a region) that a row's entries stand for: class, 2 * (region + 1) + member, n-grams
+COPIES = "ks binary, tags binary, sizes binary"
+POSTED = f"slice int, {COPIES}, at binary, g binary"
+HELD = f"bucket int, hot boolean, {COPIES}, at binary, n binary, s binary, w binary"
+PROFILE = "ck bigint, k bigint, size int, core boolean, n binary, s binary, w binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[x for x, _ in fields])
+
+
+def _copies(at: np.ndarray, ks: np.ndarray, tags: np.ndarray, sizes: np.ndarray) -> tuple[bytes, ...]:
+    """The copies that ``at`` points to, and ``at`` as indexes of those."""
+    used, inverse = np.unique(at, return_inverse=True)
+    return _planes(ks[used]), _planes(tags[used]), _planes(sizes[used]), _planes(inverse.astype(np.uint32))
+
+
+def _read(table: pa.Table, *entries: tuple[str, type]) -> list[np.ndarray]:
+    """Class, tag and size of each entry of a table's rows, and the entries' own arrays."""
+    out: list[list[np.ndarray]] = [[] for _ in range(3 + len(entries))]
+    for row in table.to_pylist():
+        at = _numbers(row["at"], np.uint32)
+        for i, (c, kind) in enumerate((("ks", np.int64), ("tags", np.uint32), ("sizes", np.uint32))):
+            out[i].append(_numbers(row[c], kind)[at])
+        for i, (c, kind) in enumerate(entries):
+            out[3 + i].append(_numbers(row[c], kind))
+    return [np.concatenate(x) for x in out]
+
+
+def _copy_hash(k: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """A hash of class and region."""
+    return mix(k.view(np.uint64) ^ mix((tag >> 1).astype(np.uint64)))
+
+
+def _poster(n: int, pivots: Pivots, common: np.ndarray, slices: int, hot_slices: int):
+    def flush(copies: list[tuple[int, int, int]], cells: list[np.ndarray], hots: list[np.ndarray]) -> pa.RecordBatch:
+        ks, tags, sizes = (np.array(c, kind) for c, kind in zip(zip(*copies), (np.int64, np.uint32, np.uint32)))
+        g, hot = np.concatenate(cells), np.concatenate(hots)
+        at = np.repeat(np.arange(len(copies)), [len(c) for c in cells])
+        place = ((g >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+        place[hot] = slices + (mix(ks.view(np.uint64))[at[hot]] % np.uint64(hot_slices)).astype(np.int64)
+        order = np.lexsort((g, place)) if hot.any() else np.argsort(g)
+        g, at, place = g[order], at[order], place[order]
+        edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place)).tolist()
+        return _rows([(int(place[lo]), *_copies(at[lo:hi], ks, tags, sizes), _planes(g[lo:hi])) for lo, hi in zip(edges, edges[1:])], POSTED)
+
     def run(batches):
         seen: set[int] = set()  # a class is posted once by a task, however many copies it meets
+        copies, cells, hots, held = [], [], [], 0
         for _, sets in _sets(n, batches):
-            keys, tags, hots, cells = [], [], [], []
             for s in sets:
                 if not len(s) or (k := _key(s)) in seen:
                     continue
                 seen.add(k)
                 hot = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(len(s), bool)
                 for region, member in pivots.regions(s):
-                    g = s if region < 0 else mix(s ^ mix(np.uint64(region + 1) * np.ones(1, np.uint64)))
-                    for flag in (False, True):
-                        if (part := g[hot == flag]).size:
-                            keys.append(k)
-                            tags.append(2 * (region + 1) + member)
-                            hots.append(flag)
-                            cells.append(part)
-            off = np.append(0, np.cumsum([len(c) for c in cells])).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *cells]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tags, pa.int32()), pa.array(hots, pa.bool_()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["k", "tag", "hot", "cells"])
+                    copies.append((k, 2 * (region + 1) + member, len(s)))
+                    cells.append(s if region < 0 else mix(s ^ mix(np.full(1, region + 1, np.uint64))))
+                    hots.append(hot)
+                    held += len(s)
+            if held >= FLUSH:
+                yield flush(copies, cells, hots)
+                copies, cells, hots, held = [], [], [], 0
+        if held:
+            yield flush(copies, cells, hots)
+
+    return run
+
+
+def _grouped(slices: int, buckets: int):
+    """A slice's postings, those of n-grams with two members or more, as entries (copy, members, cell, weight)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        hot = key[0].as_py() >= slices
+        k, tag, size, g = _read(table, ("g", np.uint64))
+        if not hot:
+            order = np.argsort(g)
+            same = g[order][1:] == g[order][:-1]
+            order = order[np.append(False, same) | np.append(same, False)]
+            k, tag, size, g = k[order], tag[order], size[order], g[order]
+        h = _copy_hash(k, tag)
+        order = np.lexsort((h, g))
+        order = order[np.append(True, (g[order][1:] != g[order][:-1]) | (h[order][1:] != h[order][:-1]))[: len(order)]]
+        k, tag, size, g, h = k[order], tag[order], size[order], g[order], h[order]
+        first = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+        rows = []
+        if len(g):
+            count = np.diff(np.append(first, len(g)))
+            cell = np.bitwise_xor.reduceat(h, first)
+            if hot:  # parts of the members; their n-gram stands for the cell
+                none = b""
+                rows.append((-1, True, none, none, none, none, _planes(count.astype(np.uint64)), _planes(cell), _planes(g[first])))
+                n, s = np.zeros(len(g), np.uint64), g
+            else:
+                keep = np.repeat(count > 1, count)
+                k, tag, size, h = k[keep], tag[keep], size[keep], h[keep]
+                n, s = (np.repeat(x[count > 1], count[count > 1]) for x in (count.astype(np.uint64), cell))
+            order = np.lexsort((n, s, h))
+            k, tag, size, h, n, s = (x[order] for x in (k, tag, size, h, n, s))
+            new = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1]))[: len(h)]
+            first = np.flatnonzero(new)
+            w = np.diff(np.append(first, len(h))).astype(np.uint32)
+            k, tag, size, h, n, s = (x[first] for x in (k, tag, size, h, n, s))
+            copy = np.cumsum(np.append(False, h[1:] != h[:-1])[: len(h)])
+            lead = np.flatnonzero(np.append(True, copy[1:] != copy[:-1])[: len(h)])
+            ks, tags, sizes = k[lead], tag[lead], size[lead]
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)[: len(h)]), len(h)).tolist()
+            for lo, hi in zip(edges, edges[1:]):
+                part = order[lo:hi]
+                rows.append((int(bucket[part[0]]), hot, *_copies(copy[part], ks, tags, sizes), _planes(n[part]), _planes(s[part]), _planes(w[part])))
+        return pa.Table.from_batches([_rows(rows, HELD)])
 
     return run
 
 
-def _sampled(texts: DataFrame, classes: DataFrame, n: int, t: float, pivots: int) -> tuple[Pivots, np.ndarray]:
-    """The pivots, and the n-grams that at least ``COMMON`` of ``SAMPLE`` classes, those of the least hash, hold."""
+def _profiler(t: float, whole: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """The cells of each copy of a bucket that may have a partner; ``whole``: n-grams in many documents, members, cells."""
+
+    def run(table: pa.Table) -> pa.Table:
+        k, tag, size, n, s, w = _read(table, ("n", np.uint64), ("s", np.uint64), ("w", np.uint32))
+        hot = n == 0
+        if hot.any():
+            at = np.searchsorted(whole[0], s[hot])
+            n[hot], s[hot] = whole[1][at], whole[2][at]
+            keep = n > 1
+            k, tag, size, n, s, w = (x[keep] for x in (k, tag, size, n, s, w))
+        h = _copy_hash(k, tag)
+        order = np.lexsort((s, n, h))
+        k, tag, size, n, s, w, h = (x[order] for x in (k, tag, size, n, s, w, h))
+        first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1]))[: len(h)])
+        w = np.add.reduceat(w, first, dtype=np.uint32) if len(first) else w
+        k, tag, size, n, s, h = (x[first] for x in (k, tag, size, n, s, h))
+        lo = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        hi = np.append(lo[1:], len(h))
+        total = np.add.reduceat(w, lo, dtype=np.int64) if len(lo) else np.zeros(0, np.int64)
+        rows = []
+        s, n = s.view(np.int64), n.astype(np.uint32)
+        for a, b in zip(*(x[total >= np.ceil(t * size[lo] - EPS)].tolist() for x in (lo, hi))):
+            member = int(tag[a]) & 1
+            rows.append((int(h[a : a + 1].view(np.int64)[0]) & ~1 | member, int(k[a]), int(size[a]), bool(member), n[a:b].tobytes(), s[a:b].tobytes(), w[a:b].tobytes()))
+        return pa.Table.from_batches([_rows(rows, PROFILE)])
+
+    return run
+
+
+def _sampled(texts: DataFrame, classes: DataFrame, n: int, t: float, pivots: int) -> tuple[Pivots, np.ndarray, float]:
+    """The pivots, the n-grams that at least ``COMMON`` of ``SAMPLE`` classes, those of the least hash, hold, and the share
+    that these have of all postings of the sample."""
     ids = classes.where(f"size <= {PIVOT_GRAMS}").orderBy("k").limit(SAMPLE).select(F.col("rep").alias("id"))
     sets = written(texts.join(F.broadcast(ids), "id").mapInArrow(_setter(n), "k bigint, grams array<bigint>").dropDuplicates(["k"]), "sample")
     chosen = sets.orderBy("k").limit(min(pivots, 64)).toArrow()["grams"].to_pylist()
-    common = sets.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > COMMON * SAMPLE).toArrow()["g"].to_numpy()
+    every = sets.select(F.explode("grams").alias("g")).groupBy("g").count()
+    common = every.where(F.col("count") > COMMON * SAMPLE).toArrow()
+    posted = every.agg(F.sum("count")).first()[0] or 1
     drop(sets)
-    return Pivots([np.array(s, np.int64).view(np.uint64) for s in chosen if s], t), np.sort(common.view(np.uint64))
+    g = common["g"].to_numpy().view(np.uint64)
+    return Pivots([np.array(s, np.int64).view(np.uint64) for s in chosen if s], t), np.sort(g), float(common["count"].to_numpy().sum() / posted)
 
 
 def _profiles(texts: DataFrame, classes: DataFrame, n: int, t: float, pivots: int) -> DataFrame:
-    """(ck, k, size, mult, core, cells) of the documents, in each of their regions, that may have a partner; ``cells`` are
-    (members, cell, weight) of all that they share with others, rarest first."""
-    chosen, common = _sampled(texts, classes, n, t, pivots)
-    post = texts.mapInArrow(_poster(n, chosen, common), "k bigint, tag int, hot boolean, cells array<bigint>")
-    post = post.select("k", "tag", F.expr(f"CASE WHEN hot THEN CAST(pmod(k, {SALTS}) AS int) ELSE -1 END").alias("salt"), F.explode("cells").alias("g"))
-    once = post.selectExpr("*", "lag(k) OVER (PARTITION BY g, salt ORDER BY k) AS before").where("before IS NULL OR before <> k")
-    over = "OVER (PARTITION BY g, salt)"
-    held = written(once.selectExpr("g", "k", "tag", "salt", f"count(1) {over} AS n", f"bit_xor(xxhash64(k, shiftright(tag, 1))) {over} AS s").where("n > 1 OR salt >= 0").select("g", "k", "tag", "salt", "n", "s"), "cells")
-    cold = held.where("salt < 0").select("k", "tag", "n", "s")
-    if len(common):
-        part = held.where("salt >= 0").groupBy("g", "salt").agg(F.first("n").alias("n"), F.first("s").alias("s"))
-        # as many rows as there are common n-grams and regions that hold them, whatever the table's size
-        whole = part.groupBy("g").agg(F.sum("n").alias("n"), F.expr("bit_xor(s)").alias("s")).where("n > 1")
-        cold = cold.unionByName(held.where("salt >= 0").select("g", "k", "tag").join(F.broadcast(whole), "g").select("k", "tag", "n", "s"))
-    own = cold.repartition("k").groupBy("k", "tag", "n", "s").agg(F.count(F.lit(1)).alias("w"))
-    own = own.groupBy("k", "tag").agg(F.sum("w").alias("total"), F.sort_array(F.collect_list(F.struct("n", "s", F.col("w").cast("int").alias("w")))).alias("cells"))
-    mine = own.hint("merge").join(classes, "k").where(f"total >= ceil({t}D * size - {EPS}D)")
-    out = written(mine.selectExpr("xxhash64(k, tag) AS ck", "k", "size", "mult", "tag % 2 = 1 AS core", "cells"), "profiles")
+    """``PROFILE`` and ``mult`` of the documents, in each of their regions, that may have a partner: members, cell and weight
+    of all that they share with others, rarest first."""
+    chosen, common, share = _sampled(texts, classes, n, t, pivots)
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    slices, hot_slices = max(1, math.ceil(total / SLICE)), max(1, math.ceil(2 * share * total / SLICE))
+    posted = texts.mapInArrow(_poster(n, chosen, common, slices, hot_slices), POSTED)
+    buckets = max(1, math.ceil(slices / 3))
+    held = written(posted.groupBy("slice").applyInArrow(_grouped(slices, buckets), HELD), "held")
+    # as many numbers as there are common n-grams and regions that hold them, whatever the table's size
+    parts = held.where("bucket < 0").select("n", "s", "w").toArrow().to_pylist() if len(common) else []
+    count, cell, gram = (np.concatenate([np.zeros(0, np.uint64), *(_numbers(x[c], np.uint64) for x in parts)]) for c in ("n", "s", "w"))
+    order = np.argsort(gram, kind="stable")
+    first = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])[: len(gram)])
+    whole = (gram[order][first], np.add.reduceat(count[order], first), np.bitwise_xor.reduceat(cell[order], first)) if len(gram) else (gram, count, cell)
+    mine = held.where("bucket >= 0").groupBy("bucket").applyInArrow(_profiler(t, whole), PROFILE)
+    out = written(mine.hint("merge").join(classes.select("k", "mult"), "k").select(*_names(PROFILE), "mult"), "profiles")
     drop(held)
     return out
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, members, cells, weights) of a column of cell lists."""
-    flat = column.flatten()
-    off = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-    return off.astype(np.int64), *(flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, numbers) of a column of arrays as bytes."""
+    column = column.cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]] if len(column) and off[-1] > off[0] else np.zeros(0, np.uint8)
+    return (off - off[0]) // np.dtype(kind).itemsize if len(off) else np.zeros(1, np.int64), np.ascontiguousarray(data).view(kind)
+
+
+def _lists(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, members, cells, weights) of the profiles."""
+    if isinstance(batch, pa.Table):
+        batch = batch.combine_chunks().to_batches()[0] if batch.num_rows else pa.RecordBatch.from_pylist([], batch.schema)
+    off, s = _flat(batch.column("s"), np.int64)
+    return off, _flat(batch.column("n"), np.uint32)[1], s, _flat(batch.column("w"), np.uint32)[1]
 
 
 def _left(off: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -193,7 +347,7 @@ def _prefixes(t: float):
 
     def run(batches):
         for batch in batches:
-            off, n, s, w = _lists(batch.column("cells"))
+            off, n, s, w = _lists(batch)
             left = _left(off, w)
             row = np.repeat(np.arange(len(off) - 1), np.diff(off))
             size = batch.column("size").to_numpy(zero_copy_only=False)
@@ -201,7 +355,7 @@ def _prefixes(t: float):
             first = [s[np.minimum(off[:-1] + i, off[1:] - 1)][row[at]] if len(s) else s for i in range(FIRST)]
             cols = batch.take(pa.array(row[at]))
             first = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(first, 1).ravel()), FIRST).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(n[at]), cols.column("ck"), cols.column("size"), pa.array(left[at]), cols.column("core"), first], names=["s", "n", "ck", "size", "rest", "core", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(n[at].astype(np.int64)), cols.column("ck"), cols.column("size"), pa.array(left[at]), cols.column("core"), first], names=["s", "n", "ck", "size", "rest", "core", "e"])
 
     return run
 
@@ -229,22 +383,21 @@ def _bucket(t: float):
     """Pairs met in small cells, checked on whole profiles."""
 
     def run(pairs: pa.Table, docs: pa.Table) -> pa.Table:
-        docs = docs.combine_chunks()
-        off, _, s, w = _lists(docs["cells"].combine_chunks() if docs.num_rows else pa.array([], docs.schema.field("cells").type))
+        off, _, s, w = _lists(docs)
         ck, size, mult, ids = (docs[c].to_numpy() for c in ("ck", "size", "mult", "k"))
         order = np.argsort(ck)
         at = [order[np.searchsorted(ck, pairs[c].to_numpy(), sorter=order)] for c in ("x", "y")]
-        cell = pairs["s"].to_numpy()
         known, code = np.unique(s, return_inverse=True)
         row = np.repeat(np.arange(len(off) - 1), np.diff(off))
         key = row * len(known) + code
         sort = np.argsort(key)
         key, weight = key[sort], w[sort]
-        good = np.zeros(len(cell), bool)
-        step = 0
+        good = np.zeros(len(at[0]), bool)
+        swap = np.diff(off)[at[0]] > np.diff(off)[at[1]]
+        at = [np.where(swap, at[1], at[0]), np.where(swap, at[0], at[1])]  # the shorter list is looked up in the longer
         length = np.diff(off)[at[0]]
-        ends = np.cumsum(length)
-        while step < len(cell):  # about a million list entries at a time
+        ends, step = np.cumsum(length), 0
+        while step < len(good):  # about a million list entries at a time
             to = max(step + 1, int(np.searchsorted(ends, (ends[step - 1] if step else 0) + (1 << 20))))
             x, y, k = at[0][step:to], at[1][step:to], length[step:to]
             pair = np.repeat(np.arange(len(x)), k)
@@ -254,10 +407,7 @@ def _bucket(t: float):
             pos[pos == len(key)] = 0
             hit = key[pos] == want
             both = np.bincount(pair[hit], weight[pos[hit]], len(x))
-            first = np.unique(pair[hit], return_index=True)
-            lead = np.zeros(len(x), s.dtype)
-            lead[first[0]] = s[src[hit][first[1]]]
-            good[step:to] = (lead == cell[step:to]) & (both >= t * (size[x].astype(np.int64) + size[y] - both) - EPS)
+            good[step:to] = both >= t * (size[x].astype(np.int64) + size[y] - both) - EPS
             step = to
         found = _trees(ids, at[0][good], at[1][good], mult)
         return pa.Table.from_pandas(found, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]), preserve_index=False)
@@ -286,7 +436,7 @@ def _wanted(t: float):
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cols = [pdf[c].to_numpy() for c in ("i", "size", "rest", "core")]
-        first = np.stack(pdf["e"].to_numpy())
+        first = np.stack(pdf["e"].to_numpy())[:, :4]
         on = np.zeros(len(pdf), bool)
         for lo in range(0, len(pdf), 256):
             ok = _open_pairs(t, key[0], cols[0], key[1] != key[2], *cols[1:], first, lo, min(lo + 256, len(pdf)))
@@ -301,17 +451,17 @@ def _block(t: float):
     """A block of a full cell, checked by products of weight matrices."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = list(pdf["cells"])
+        lists = [np.frombuffer(x, np.int64) for x in pdf["s"]]
         off = np.append(0, np.cumsum([len(c) for c in lists]))
-        s = np.concatenate([np.fromiter((x["s"] for x in c), np.int64, len(c)) for c in lists])
-        w = np.concatenate([np.fromiter((x["w"] for x in c), np.float32, len(c)) for c in lists])
+        s = np.concatenate(lists)
+        w = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["w"]]).astype(np.float32)
         left = _left(off, w.astype(np.int64))
         row = np.repeat(np.arange(len(lists)), np.diff(off))
         here = np.flatnonzero(s == key[0])
         place = np.zeros(len(lists), np.int64)
         place[row[here]] = here
         block, size, core = pdf["i"].to_numpy(), pdf["size"].to_numpy(np.int64), pdf["core"].to_numpy(bool)
-        first = np.stack([s[np.minimum(off[:-1] + i, off[1:] - 1)] for i in range(FIRST)], 1)
+        first = np.stack([s[np.minimum(off[:-1] + i, off[1:] - 1)] for i in range(4)], 1)
         known, code, count = np.unique(s, return_inverse=True, return_counts=True)
         shared = np.cumsum(count > 1) - 1
         keep = count[code] > 1
@@ -350,19 +500,20 @@ def _links(profiles: DataFrame, t: float, hot: int, block: int) -> DataFrame:
     share = t / (1 + t)
     pairs = small.selectExpr("s", f"""explode(flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)),
         y -> (x.core OR y.core) AND least(x.rest, y.rest) >= {share}D * (x.size + y.size) - 1e-6D AND (x.e[0] <> y.e[0] OR x.e[0] = s)
-        AND coalesce(get(array_intersect(x.e, y.e), 0), s) = s), y -> struct(x.ck AS x, y.ck AS y))))) AS p""").select("s", "p.x", "p.y")
-    pairs = written(pairs, "pairs")
+        AND coalesce(get(array_intersect(x.e, y.e), 0), s) = s), y -> struct(least(x.ck, y.ck) AS x, greatest(x.ck, y.ck) AS y))))) AS p""").select("s", "p.x", "p.y")
+    # small cells come first in every order: a pair that meets in one has its first common cell among them
+    pairs = written(pairs.groupBy("x", "y").agg(F.min("s").alias("s")), "pairs")
     buckets = max(1, math.ceil(pairs.count() / BUCKET))
     at = F.expr(f"CAST(pmod(xxhash64(s), {buckets}) AS int)").alias("bucket")
-    pairs_at = pairs.select(at, "s", "x", "y")
+    pairs_at = pairs.select(at, "x", "y")
     need = pairs.select(at, F.col("x").alias("ck")).union(pairs.select(at, F.col("y").alias("ck"))).distinct()
-    lists = need.hint("merge").join(profiles, "ck").select("bucket", "ck", "k", "size", "mult", "cells")
+    lists = need.hint("merge").join(profiles, "ck").select("bucket", "ck", "k", "size", "mult", "n", "s", "w")
     out = pairs_at.groupBy("bucket").cogroup(lists.groupBy("bucket")).applyInArrow(_bucket(t), FOUND)
     # a full cell of n documents is joined in blocks, each with itself and each other
     full = posts.where(F.col("n") > hot).selectExpr("*", f"CAST(ceil(n / {block}) AS int) AS nb").selectExpr("*", "CAST(pmod(hash(ck), nb) AS int) AS i")
     full = full.selectExpr("*", "explode(sequence(0, nb - 1)) AS j").selectExpr("s", "least(i, j) AS bi", "greatest(i, j) AS bj", "i", "ck", "size", "rest", "core", "e")
     wanted = written(full.groupBy("s", "bi", "bj").applyInPandas(_wanted(t), "s bigint, bi int, bj int, i int, ck bigint"), "wanted")
-    met = wanted.hint("merge").join(profiles, "ck").groupBy("s", "bi", "bj").applyInPandas(_block(t), FOUND)
+    met = wanted.withColumnRenamed("s", "cell").hint("merge").join(profiles, "ck").groupBy("cell", "bi", "bj").applyInPandas(_block(t), FOUND)
     found = written(out.unionByName(met), "links")
     drop(posts, pairs, wanted)
     return found
