@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -237,6 +238,19 @@ def test_transducer_counts_what_the_encoder_does(texts, chunk):
     assert (total[off[1:]] - total[off[:-1]]).tolist() == [len(encode(t)) for t in texts]
 
 
+def test_long_runs_without_a_border():
+    blob, rng = vocab.read(), random.Random(3)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(30_000))
+    texts = ["a" * 200_000, cjk, "ab" * 20_000 + " and more", "".join(rng.choice("etaoinshrdlu") for _ in range(60_000)), "x" + "\n" * 5000 + "=" * 40_000 + "y"]
+    machine, encode = fsm.transducer(blob), vocab.encoding(blob).encode_ordinary
+    for t in texts:
+        fsm.deltas(as_string(pa.array([t])), machine)  # compiles the states
+        began = time.time()
+        got = int(fsm.deltas(as_string(pa.array([t])), machine)[0].sum(dtype=np.int64))
+        assert time.time() - began < 3
+        assert got == (len(encode(t)) if len(t) < 100_000 else 10 * len(encode("a" * 20_000)))
+
+
 def test_token_counts(spark):
     got = tokens.token_counts(odd(spark)).collect()
     encode = vocab.encoding(vocab.read()).encode_ordinary

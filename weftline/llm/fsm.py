@@ -14,8 +14,11 @@ may be negative.  States and transitions are compiled when first met and kept in
 Scan.  Text is cut into chunks.  A chunk's state map sends entry states to (exit state, count).  From
 its first pre-token border on a chunk is independent of the entry state, so its map is
 its head, the bytes before that border, and the count and exit of the rest.  All rests run side by side,
-a byte a step; then maps are composed: heads run from their predecessors' exit states, chunk by chunk of
-such texts as have no border in whole chunks.
+a byte a step.  A chunk without any border has a map proper.  Such maps are made for the entry states that can
+occur: first for the start state, then, all chunks side by side, for every exit state of the chunk before that
+is new, until the chain from the last border on is closed.  The maps are composed by a parallel prefix scan, pointers
+over (chunk, entry state) doubling each round, which gives each chunk's entry state; with these all heads and
+borderless chunks run side by side once more.
 """
 
 from __future__ import annotations
@@ -237,24 +240,56 @@ def deltas(arr: pa.Array, machine: Transducer, chunk: int = CHUNK) -> tuple[np.n
         state *= inside[i]
         state, emitted[i] = machine.step(state, steps[i])
     out[:] = emitted.T.ravel()[:n]
-    # composition: heads run from the exit states of the chunks before, whole chunks without a border in turn
+    # composition
     lo = np.arange(lanes) * chunk
-    head = np.where(flags.any(1), lo + flags.argmax(1), np.minimum(lo + chunk, n))
-    exit_state = np.where(flags.any(1), state, -1)
-    todo = np.flatnonzero(head > lo)  # the first chunk begins with a border
-    while len(todo):
-        ready = todo[exit_state[todo - 1] >= 0]
-        order = ready[np.argsort(lo[ready] - head[ready], kind="stable")]  # longest first: those running are a prefix
-        now, size = exit_state[order - 1].astype(np.int32), (head - lo)[order]
-        live, i = len(order), 0
-        while True:
-            live = int(np.searchsorted(-size[:live], -i))
-            if not live:
-                break
-            at = lo[order[:live]] + i
-            now[:live], out[at] = machine.step(now[:live], column[at])
-            i += 1
-        whole = exit_state[order] < 0
-        exit_state[order[whole]] = now[whole]
-        todo = np.setdiff1d(todo, ready)
+    bordered = flags.any(1)
+    head = np.where(bordered, lo + flags.argmax(1), np.minimum(lo + chunk, n))
+    entry = np.append(-1, np.where(bordered, state, -1)[:-1])  # of the first chunk, which begins with a border, none is needed
+    bare = np.flatnonzero(~bordered)
+    if len(bare):
+        exits = _scan(bare, entry, steps, machine)
+        after = bare[bare + 1 < lanes] + 1
+        entry[after] = exits[: len(after)]
+    todo = np.flatnonzero(head > lo)
+    order = todo[np.argsort(lo[todo] - head[todo], kind="stable")]  # longest first: those running are a prefix
+    now, size = entry[order].astype(np.int32), (head - lo)[order]
+    live, i = len(order), 0
+    while True:
+        live = int(np.searchsorted(-size[:live], -i))
+        if not live:
+            break
+        at = lo[order[:live]] + i
+        now[:live], out[at] = machine.step(now[:live], column[at])
+        i += 1
     return out, off
+
+
+def _scan(bare: np.ndarray, entry: np.ndarray, steps: np.ndarray, machine: Transducer) -> np.ndarray:
+    """Exit states of the chunks without a border, whose entry state is that of ``entry`` or the exit of the chunk before."""
+    node: dict[tuple[int, int], int] = {}  # (place in bare, entry state)
+    into: list[int] = []  # exit state of each
+    first = entry[bare] >= 0
+    starts = [(int(k), int(entry[bare[k]])) for k in np.flatnonzero(first)]
+    new = list(dict.fromkeys([*starts, *((int(k), 0) for k in range(len(bare)))]))
+    while True:
+        node |= {x: len(into) + i for i, x in enumerate(new)}
+        where, state = bare[[k for k, _ in new]], np.array([s for _, s in new], np.int32)
+        for row in steps:
+            state, _ = machine.step(state, row[where])
+        into += state.tolist()
+        places, exits = np.array([k for k, _ in node]), np.array(into)
+        last = np.append(first[1:], True)[places]  # no chunk without a border follows
+        step = np.array([-1 if end else node.get((int(k) + 1, int(s)), -1) for k, s, end in zip(places, exits, last)])
+        # prefix scan: what 2^r pointers reach from the first chunks, then 2^(r+1)
+        on = np.zeros(len(step), bool)
+        on[[node[x] for x in starts]] = True
+        jump = step
+        while (jump >= 0).any():
+            reached = jump[on & (jump >= 0)]
+            on[reached] = True
+            jump = np.where(jump >= 0, jump[jump], -1)
+        if not (on & (step < 0) & ~last).any():
+            out = np.zeros(len(bare), np.int64)
+            out[places[on]] = exits[on]
+            return out
+        new = list(dict.fromkeys((int(k) + 1, int(s)) for k, s, end in zip(places, exits, last) if not end and (int(k) + 1, int(s)) not in node))
