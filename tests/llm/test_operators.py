@@ -6,6 +6,7 @@ import random
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -172,6 +173,7 @@ def brute_score(doc, item):
 def test_alignment(item, doc):
     s, a, b, matched = decontam.align(np.array(doc, np.uint64), np.array(item, np.uint64))
     assert s == pytest.approx(brute_score(doc, item)) and a <= b and matched <= len(item)
+    assert brute_score(doc[a:b], item) == pytest.approx(s) and 2 * matched >= s * 2 * len(item) and matched <= sum(x in item for x in doc[a:b])
 
 
 def test_decontamination(spark):
@@ -195,10 +197,38 @@ def test_decontamination(spark):
     brute = {(i, j) for i, t in rows for j, x in items if brute_score(words(t), words(x)) >= decontam.MIN_SCORE}
     for limit in (decontam.SLICE_GRAMS, 30):
         got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, rows), bench, slice_grams=limit).collect()}
-        assert want <= got <= brute
+        assert want <= got == brute
     assert {r["doc_id"] for r in decontam.decontaminate(docs(spark, rows), bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_all_copies_above_the_bound_of_seeds_are_found(spark):
+    rng = random.Random(8)
+    pool = [f"v{k}" for k in range(500)]
+    items = {k: [rng.choice(pool) for _ in range(rng.choice([12, 25, 60]))] for k in range(8)}
+    rows = []
+    for k in range(150):
+        w = list(items[k % 8])
+        for _ in range(rng.randint(0, len(w) // 2)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice([[], ["edit"], [rng.choice(pool)]])
+        rows.append((k, " ".join([rng.choice(pool) for _ in range(rng.randint(0, 40))] + w + [rng.choice(pool) for _ in range(rng.randint(0, 40))])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    brute = {(i, j): s for i, t in rows for j, x in items.items() if (s := brute_score(words(t), x)) >= decontam.MIN_SCORE}
+    assert all(got[p] == pytest.approx(brute[p]) for p in got) and {p for p, s in brute.items() if s >= 0.5 + 1 / (len(items[p[1]]) + 2)} <= set(got) <= set(brute) and len(got) > 100
+
+
+def test_long_items_take_little_memory():
+    rng = np.random.default_rng(1)
+    item = rng.integers(0, 1 << 40, 6000).astype(np.uint64)
+    doc = np.concatenate([rng.integers(0, 1 << 40, 3000).astype(np.uint64), item, rng.integers(0, 1 << 40, 3000).astype(np.uint64)])
+    tracemalloc.start()
+    s, a, b, matched = decontam.align(doc, item)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (s, a, b, matched) == (1.0, 3000, 9000, 6000) and peak < 4 << 20
+
+
 def test_decontamination_does_not_depend_on_how_often_a_copy_leaked(spark):
     rng = random.Random(5)
     item = [f"q{k}" for k in range(30)]

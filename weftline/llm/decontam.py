@@ -2,17 +2,22 @@
 
 Every n-gram of every test item is a seed, however many documents hold it: whether a document is found
 depends on its own text and the item's, never on how often either leaked.  A scan joins documents to
-items by seeds and takes the words around each seed diagonal.  No alignment there can match more words than
-document and item have in common, so a window with too few of them for ``min_score`` (a stock phrase
-met elsewhere) is left out without loss; the others are aligned with the item (match +2, mismatch -1, gap -1).
-A document is contaminated by an item if the best score reaches ``min_score`` of the score of a verbatim copy.
+items by seeds and takes the words around each seed diagonal, as far as any alignment of ``min_score`` through it can
+reach.  No alignment there can match more words than document and item have in common, so a window with too few of
+them (a stock phrase met elsewhere) is left out without loss; the others are aligned with the item (match +2, mismatch
+-1, gap -1), row by row in memory that grows with the window alone.
+A document is contaminated by an item if the best score reaches ``min_score`` of the score of a verbatim copy of the item:
+a copy of less than half of an item is none.
+
+What seeds miss: an alignment without any three matching words in a row.  It has at most two matches for each
+mismatch or gap, so its score is below 0.5 + 1 / (m + 2) for an item of m words.
 
 The items are held by each task in slices of ``slice_grams`` seeds; a larger benchmark takes
 more scans, never more memory.
 
 Defined cases: null or empty texts and items never match; an item shorter than ``n`` words is one
-seed of all its words; repeated rows each give their own row; a null doc_id or item_id is carried
-through; of equal alignments the first in the text is reported.
+seed of all its words, which only a document of just these words has; repeated rows each give their own row; a null
+doc_id or item_id is carried through; of equal alignments the first in the text is reported.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.grams import Words, as_string, blocks
 
-N = 4
+N = 3
 MIN_SCORE = 0.5
 SLICE_GRAMS = 2_000_000
 PAIRS = 1_000_000
@@ -64,31 +69,33 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[float, int, int, int]:
     """Best local alignment of two word-hash sequences: score / (2 * len(item)), first and past-last
     word of the document, matched words."""
     m, n = len(item), len(doc)
-    score = np.zeros((m + 1, n + 1), np.int32)
-    ramp = np.arange(n + 1, dtype=np.int32)
-    for i in range(1, m + 1):
-        row = score[i]
-        same = np.where(doc == item[i - 1], 2, -1)
-        row[1:] = np.maximum(np.maximum(score[i - 1, :-1] + same, score[i - 1, 1:] - 1), 0)
-        np.maximum(row, np.maximum.accumulate(row + ramp) - ramp, out=row)  # gaps along the document
-    flat = int(score.argmax())
-    i, j = divmod(flat, n + 1)
-    best, end, matched = int(score[i, j]), j, 0
-    while score[i, j] > 0:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (2 if doc[j - 1] == item[i - 1] else -1):
-            matched += int(doc[j - 1] == item[i - 1])
-            i, j = i - 1, j - 1
-        elif i and score[i, j] == score[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-    return best / (2 * m), j, end, matched
+    ramp = np.arange(n + 1)
+    score, begin, matched = np.zeros(n + 1, np.int64), ramp.copy(), np.zeros(n + 1, np.int64)
+    best = (0, 0, 0, 0)
+    for word in item:
+        same = doc == word
+        top = np.maximum(score - 1, 0)  # a gap along the item, or nothing
+        old = score >= 1
+        start, hits = np.where(old & (top > 0), begin, ramp), np.where(old & (top > 0), matched, 0)
+        diagonal = score[:-1] + np.where(same, 2, -1)
+        take = np.append(False, (diagonal >= top[1:]) & (diagonal > 0))
+        top[1:] = np.where(take[1:], diagonal, top[1:])
+        start[1:] = np.where(take[1:], begin[:-1], start[1:])
+        hits[1:] = np.where(take[1:], matched[:-1] + same, hits[1:])
+        reach = np.maximum.accumulate(top + ramp)  # gaps along the document
+        source = np.maximum.accumulate(np.where(top + ramp == reach, ramp, 0))
+        score = reach - ramp
+        begin, matched = start[source], hits[source]
+        j = int(score.argmax())
+        if score[j] > best[0]:
+            best = int(score[j]), int(begin[j]), j, int(matched[j])
+    return best[0] / (2 * m), *best[1:]
 
 
 def windows(pos: np.ndarray, place: np.ndarray, m: int, n: int) -> list[tuple[int, int]]:
     """Word ranges of the document that an alignment through these seeds can cover, merged."""
-    lo = np.maximum(pos - place - m // 2 - 1, 0)
-    hi = np.minimum(pos - place + m + m // 2 + 1, n)
+    lo = np.maximum(pos - place - m, 0)
+    hi = np.minimum(pos - place + 2 * m, n)
     order = np.argsort(lo, kind="stable")
     out: list[list[int]] = []
     for a, b in zip(lo[order].tolist(), hi[order].tolist()):
