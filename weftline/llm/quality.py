@@ -6,8 +6,8 @@ the labelled sample the class log-count ratio r = log((p + a) / |p + a|) - log((
 indicators are scaled by r, and a hinge-loss model is fitted by dual coordinate descent, both classes
 weighing the same.  Every document is then scored; ``keep`` is score > 0.
 
-The fit uses at most ``sample`` labelled rows of each class, those of the least hash of their doc_id;
-scoring covers all documents.
+The fit uses at most ``sample`` labelled rows of each class, those of the least hash of their doc_id, with texts of at most
+``SAMPLE_CHARS`` characters; scoring covers all documents and their whole texts.
 
 Defined cases: null or empty texts have no features and score the bias; labels that are null or not 0
 or 1, or without a document, are left out; of rows that repeat a doc_id each is scored alike; if a class has
@@ -28,18 +28,23 @@ from weftline.llm.grams import as_string, blocks
 
 BITS = 18
 SAMPLE = 3000
+SAMPLE_CHARS = 50_000
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> list[tuple[int, str, int]]:
-    """(doc_id, text, label) of at most ``sample`` labelled rows of each class, ordered."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int, chars: int = SAMPLE_CHARS) -> list[tuple[int, str, int]]:
+    """(doc_id, text, label) of at most ``sample`` labelled rows of each class with texts of at most ``chars``, ordered."""
     chosen = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").distinct()
     key = F.struct(F.xxhash64("id"), "id")
-    picks = None
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where(f"text IS NULL OR length(text) <= {chars}")
+    picks = rows = None
     for y in (0, 1):
         part = chosen.where(F.col("y") == y).orderBy(key).limit(sample)
         picks = part if picks is None else picks.union(part)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(picks, "id").toArrow()
+    met = texts.join(F.broadcast(picks), "id")  # 2 * sample rows
+    for y in (0, 1):  # an id may have many rows
+        part = met.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(sample)
+        rows = part if rows is None else rows.union(part)
+    got = rows.toArrow()
     return sorted({(i, t or "", y) for i, t, y in zip(*(got[c].to_pylist() for c in ("id", "text", "y")))})
 
 

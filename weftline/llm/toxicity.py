@@ -20,7 +20,6 @@ out, and without labels no stems are mined; repeated rows are each judged; a nul
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,28 +65,31 @@ def _in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 def mine(rows: list[tuple[int, str, int]], levels: tuple[tuple[int, float], ...] = (STRONG, WEAK)) -> list[dict[int, np.ndarray]]:
     """For each level (least, purity), by stem length, the stems under which at least ``least`` different words
     occur in toxic rows and whose occurrences by row are toxic to ``purity``."""
-    seen: dict[int, dict[int, list]] = {k: defaultdict(lambda: [set(), 0, 0]) for k in STEMS}
-    texts = as_string(pa.array([r[1] for r in rows], pa.string()))
+    out: list[dict[int, np.ndarray]] = [{} for _ in levels]
+    toxic = np.array([r[2] for r in rows], np.int64)
+    sides = [max(1, int((toxic == y).sum())) for y in (0, 1)]
+    parts: list[list[np.ndarray]] = [[np.zeros(0, U)] for _ in range(2 + len(STEMS))]
     at = 0
-    sides = [max(1, sum(1 for r in rows if r[2] == y)) for y in (0, 1)]
-    for _, arr in blocks(texts):
+    for _, arr in blocks(as_string(pa.array([r[1] for r in rows], pa.string()))):
         w = Words(arr, stems=STEMS)
-        for i in range(len(arr)):
-            toxic = rows[at + i][2]
-            lo, hi = w.ptr[i], w.ptr[i + 1]
-            for k in STEMS:
-                pair = np.unique(np.stack([w.stems[k][lo:hi], w.h[lo:hi]], 1), axis=0)
-                pair = pair[pair[:, 0] != 0]
-                for stem in np.unique(pair[:, 0]).tolist():
-                    seen[k][stem][1 + toxic] += 1
-                if toxic:
-                    for stem, word in pair.tolist():
-                        seen[k][stem][0].add(word)
+        row = np.repeat(np.arange(at, at + len(arr)), np.diff(w.ptr)).astype(U)
+        once = np.lexsort((row, w.h))
+        once = once[np.append(True, (np.diff(w.h[once]) != 0) | (np.diff(row[once]) != 0))[: len(once)]]
+        for part, x in zip(parts, (row, w.h, *(w.stems[k] for k in STEMS))):
+            part.append(x[once])
         at += len(arr)
-    out = []
-    for least, purity in levels:
-        good = {k: [t for t, (words, clean, toxic) in seen[k].items() if len(words) >= least and toxic / sides[1] >= purity * (toxic / sides[1] + clean / sides[0])] for k in STEMS}
-        out.append({k: np.array(sorted(g), dtype=U) for k, g in good.items()})
+    row, word, *stems = (np.concatenate(p) for p in parts)
+    for k, stem in zip(STEMS, stems):
+        on = np.flatnonzero(stem)
+        known, code = np.unique(stem[on], return_inverse=True)
+        y = toxic[row[on].astype(np.int64)]
+        pair = np.unique(code * max(1, len(rows)) + row[on].astype(np.int64))  # a row counts once for a stem
+        held, side = pair // max(1, len(rows)), toxic[pair % max(1, len(rows))] if len(rows) else pair
+        clean, bad = (np.bincount(held[side == v], minlength=len(known)) for v in (0, 1))
+        _, lead = np.unique(word[on][y == 1], return_index=True)
+        words = np.bincount(code[y == 1][lead], minlength=len(known))
+        for level, (least, purity) in zip(out, levels):
+            level[k] = known[(words >= least) & (bad / sides[1] >= purity * (bad / sides[1] + clean / sides[0]))]
     return out
 
 
@@ -240,7 +242,7 @@ def _judge_task(voters: Voters, weight: np.ndarray, bias: float, posterior: dict
                 w = Words(arr, stems=STEMS)
                 votes = voters(w)
                 s.append(np.where(np.diff(w.ptr) > 0, scores(*_features(w, votes), weight, bias, 1 << BITS), -1.0))
-                p.append(np.array([posterior[c] for c in encode(votes).tolist()]))
+                p.append(np.array([posterior.get(c, 0.5) for c in encode(votes).tolist()]))
             score = np.concatenate(s)
             hit = np.flatnonzero(score > 0)
             if len(hit):

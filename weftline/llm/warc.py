@@ -1,15 +1,18 @@
 """WARC archives: a writer and a sequential reader.
 
 Each record is a gzip member of its own.  The reader streams a file through an incremental zlib decompressor a
-member at a time, frames the block by Content-Length, hashes it as it passes and checks the block and
-payload digests; memory is bounded by the largest record.  Files are read side by side, one task a file.
+member at a time, at most ``PIECE`` bytes of output a step, frames the block by Content-Length, hashes it as it passes
+and checks the block and payload digests (SHA-1, SHA-256, SHA-512 and MD5, in base 32 or hexadecimal); memory is bounded by
+the largest record.  Files are read side by side, one task a file.
 
-Statuses: ``ok``; ``digest`` (a stated SHA-1 doesn't match); ``length`` (block and Content-Length differ);
+Statuses: ``ok``; ``digest`` (a stated digest doesn't match); ``length`` (block and Content-Length differ);
 ``header`` (no WARC header); ``corrupt`` (bad deflate data: the reader goes on at the next gzip member);
-``truncated`` (the file ends inside a record).
+``truncated`` (the file ends inside a record).  ``digest_ok`` is null where no digest of a known kind is stated.
 
 Defined cases: a null URL, id or body is written without its header, resp. as a null marker, and is null again
-when read; empty bodies stay empty; repeated rows are separate records; an empty table gives no files.
+when read; a URL that a header can't hold as it is (line ends, blanks around it) is written percent-encoded, and as JSON in
+a header of its own from which it is read back unchanged; empty bodies stay empty; repeated rows are separate records;
+an empty table gives no files.  The archive of ``round_trip`` stays in the shared folder, as its result is read from it.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from typing import BinaryIO
+from typing import Any, BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +33,11 @@ from pyspark.sql import functions as F
 from weftline.llm.store import shared_dir
 
 READ = 1 << 18
+PIECE = 1 << 20
 ROLL = 256 << 20
 LEVEL = 4
 RECORDS = "path string, offset bigint, status string, record_type string, record_id string, target_uri string, warc_date string, content_type string, content_length bigint, digest_ok boolean, headers map<string,string>, payload binary"
+_DIGESTS = ("sha1", "sha256", "sha512", "md5")
 _MAGIC = b"\x1f\x8b\x08"
 
 
@@ -45,7 +51,10 @@ def record(payload: bytes | None, uri: str | None = None, extra: dict[str, str]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
     head = {"WARC-Type": "response", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uri} {extra}')}>", "WARC-Date": date}
     if uri is not None:
-        head["WARC-Target-URI"] = json.dumps(uri)[1:-1] if any(c in uri for c in "\r\n") else uri
+        plain = uri == uri.strip() and not any(c in uri for c in "\r\n") and uri
+        head["WARC-Target-URI"] = uri if plain else quote(uri, safe="")
+        if not plain:
+            head["WARC-X-Target-URI-JSON"] = json.dumps(uri)
     head |= {"WARC-Payload-Digest": sha1(body), "WARC-Block-Digest": sha1(block), "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))} | (extra or {})
     if payload is None:
         head["WARC-X-Null"] = "1"
@@ -68,12 +77,13 @@ def _members(f: BinaryIO) -> Iterator[tuple[int, Iterator[bytes]]]:
             nonlocal rest, offset
             z = zlib.decompressobj(31)
             while True:
-                data = rest or f.read(READ)
+                data = z.unconsumed_tail or rest or f.read(READ)
                 if not data:
                     raise EOFError
-                rest = b""
+                if not z.unconsumed_tail:
+                    rest = b""
                 try:
-                    out = z.decompress(data)
+                    out = z.decompress(data, PIECE)
                 except zlib.error:
                     # go on at the next member's magic, in what is left of this piece or in later ones
                     at = data.find(_MAGIC, 1)
@@ -88,8 +98,9 @@ def _members(f: BinaryIO) -> Iterator[tuple[int, Iterator[bytes]]]:
                     offset += at
                     rest = data[at:]
                     raise
-                rest = z.unused_data
-                offset += len(data) - len(rest)
+                if z.eof:
+                    rest = z.unused_data
+                offset += len(data) - len(rest if z.eof else z.unconsumed_tail)
                 if out:
                     yield out
                 if z.eof:
@@ -117,7 +128,8 @@ def _parse(head: bytes) -> dict[str, str] | None:
 def _read_record(pieces: Iterator[bytes]) -> tuple[str, dict[str, str], bytes | None, bool | None]:
     """(status, headers, payload, digest_ok) of one member."""
     head, headers, size, got, tail = b"", None, 0, 0, 0
-    block_hash, http, body, body_hash = hashlib.sha1(), None, [], hashlib.sha1()
+    hashes: dict[str, Any] = {}
+    http, body = None, []
     status = "ok"
     is_http = False
 
@@ -126,7 +138,8 @@ def _read_record(pieces: Iterator[bytes]) -> tuple[str, dict[str, str], bytes |
         inside = data[: size - got]
         tail += len(data) - len(inside)
         got += len(inside)
-        block_hash.update(inside)
+        if "block" in hashes:
+            hashes["block"].update(inside)
         if is_http and http is not None:
             http += inside
             at = http.find(b"\r\n\r\n")
@@ -134,7 +147,8 @@ def _read_record(pieces: Iterator[bytes]) -> tuple[str, dict[str, str], bytes |
                 return
             inside, http = http[at + 4 :], None
         body.append(inside)
-        body_hash.update(inside)
+        if "payload" in hashes:
+            hashes["payload"].update(inside)
 
     try:
         for data in pieces:
@@ -148,6 +162,7 @@ def _read_record(pieces: Iterator[bytes]) -> tuple[str, dict[str, str], bytes |
                 if headers is None:
                     status, headers = "header", {}
                 size = int(headers.get("content-length", "0")) if headers.get("content-length", "0").isdigit() else 0
+                hashes = {part: hashlib.new(kind) for part in ("block", "payload") if (kind := headers.get(f"warc-{part}-digest", "").partition(":")[0].lower().replace("-", "")) in _DIGESTS}
                 is_http = headers.get("content-type", "").startswith("application/http")
                 http = b"" if is_http else None
             take(data)
@@ -160,10 +175,9 @@ def _read_record(pieces: Iterator[bytes]) -> tuple[str, dict[str, str], bytes |
     if status == "ok" and (got != size or tail != 4):
         status = "length"
     digests = []
-    for name, h in (("warc-block-digest", block_hash), ("warc-payload-digest", body_hash)):
-        stated = headers.get(name, "")
-        if stated.lower().startswith("sha1:"):
-            digests.append(stated[5:].upper() == base64.b32encode(h.digest()).decode())
+    for part, h in hashes.items():
+        stated = headers[f"warc-{part}-digest"].partition(":")[2].strip()
+        digests.append(stated.lower() == h.hexdigest() or stated.upper().rstrip("=") == base64.b32encode(h.digest()).decode().rstrip("="))
     ok = all(digests) if digests else None
     if status == "ok" and ok is False:
         status = "digest"
@@ -176,7 +190,12 @@ def read_stream(f: BinaryIO, path: str = "") -> Iterator[tuple]:
     for offset, pieces in _members(f):
         status, h, payload, ok = _read_record(pieces)
         size = h.get("content-length", "")
-        yield path, offset, status, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), int(size) if size.isdigit() else None, ok, h, payload
+        uri = h.get("warc-target-uri")
+        try:
+            uri = json.loads(h["warc-x-target-uri-json"]) if "warc-x-target-uri-json" in h else uri
+        except ValueError:
+            pass  # not of this writer
+        yield path, offset, status, h.get("warc-type"), h.get("warc-record-id"), uri, h.get("warc-date"), h.get("content-type"), int(size) if size.isdigit() else None, ok, h, payload
 
 
 def _open(path: str) -> BinaryIO:
