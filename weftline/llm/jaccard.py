@@ -51,8 +51,8 @@ PIVOT_GRAMS = 20_000
 SAMPLE = 2048
 COMMON = 0.01
 BUCKET = 5_000
-SLICE = 1_500_000
-FLUSH = 2_000_000
+SLICE = 700_000
+FLUSH = 1_000_000
 FIRST = 8
 EPS = 1e-9
 FOUND = "a bigint, b bigint, n bigint"
@@ -173,16 +173,27 @@ def _copy_hash(k: np.ndarray, tag: np.ndarray) -> np.ndarray:
 
 
 def _poster(n: int, pivots: Pivots, common: np.ndarray, slices: int, hot_slices: int):
+    bounds = np.array([(i << 64) // slices for i in range(slices)], np.uint64)
+
     def flush(copies: list[tuple[int, int, int]], cells: list[np.ndarray], hots: list[np.ndarray]) -> pa.RecordBatch:
         ks, tags, sizes = (np.array(c, kind) for c, kind in zip(zip(*copies), (np.int64, np.uint32, np.uint32)))
         g, hot = np.concatenate(cells), np.concatenate(hots)
-        at = np.repeat(np.arange(len(copies)), [len(c) for c in cells])
-        place = ((g >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
-        place[hot] = slices + (mix(ks.view(np.uint64))[at[hot]] % np.uint64(hot_slices)).astype(np.int64)
-        order = np.lexsort((g, place)) if hot.any() else np.argsort(g)
-        g, at, place = g[order], at[order], place[order]
-        edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place)).tolist()
-        return _rows([(int(place[lo]), *_copies(at[lo:hi], ks, tags, sizes), _planes(g[lo:hi])) for lo, hi in zip(edges, edges[1:])], POSTED)
+        at = np.repeat(np.arange(len(copies), dtype=np.int32), [len(c) for c in cells])
+        rows = []
+
+        def send(first: int, edges: list[int], g: np.ndarray, at: np.ndarray) -> None:
+            rows.extend((first + i, *_copies(at[lo:hi], ks, tags, sizes), _planes(g[lo:hi])) for i, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo)
+
+        if hot.any():
+            many, whose = g[hot], at[hot]
+            place = mix(ks.view(np.uint64))[whose] % np.uint64(hot_slices)
+            order = np.lexsort((many, place))
+            send(slices, np.searchsorted(place[order], np.arange(hot_slices + 1, dtype=np.uint64)).tolist(), many[order], whose[order])
+            g, at = g[~hot], at[~hot]
+        order = np.argsort(g)
+        g, at = g[order], at[order]
+        send(0, [*np.searchsorted(g, bounds).tolist(), len(g)], g, at)
+        return _rows(rows, POSTED)
 
     def run(batches):
         seen: set[int] = set()  # a class is posted once by a task, however many copies it meets
@@ -306,7 +317,7 @@ def _profiles(texts: DataFrame, classes: DataFrame, n: int, t: float, pivots: in
     total = classes.agg(F.sum("size")).first()[0] or 0
     slices, hot_slices = max(1, math.ceil(total / SLICE)), max(1, math.ceil(2 * share * total / SLICE))
     posted = texts.mapInArrow(_poster(n, chosen, common, slices, hot_slices), POSTED)
-    buckets = max(1, math.ceil(slices / 3))
+    buckets = max(1, math.ceil(slices / 2))
     held = written(posted.groupBy("slice").applyInArrow(_grouped(slices, buckets), HELD), "held")
     # as many numbers as there are common n-grams and regions that hold them, whatever the table's size
     parts = held.where("bucket < 0").select("n", "s", "w").toArrow().to_pylist() if len(common) else []
