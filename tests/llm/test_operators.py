@@ -606,6 +606,11 @@ def test_rules(spark):
     assert same["text"] == "Fine text." and same["n_chars"] == 10
 
 
+def test_lines_are_judged_once(spark):
+    for df in (linerules.clean_lines(odd(spark)), linerules.report(odd(spark))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2  # lines, and their words
+
+
 # --- 5 quality, 8 toxicity
 
 

@@ -45,7 +45,13 @@ def judged(docs: DataFrame) -> DataFrame:
     # the inner transform splits each line into words once
     per_line = f"""transform(transform(split(text, '\\n'), l -> named_struct('line', l, 'words', split(l, ' '), 'low', lower(l))),
         x -> named_struct('line', x.line, 'code', {_code('x.line', 'x.words', 'x.low')}))"""
-    return docs.withColumn("__lines", F.expr(per_line))
+    return _once(docs, "__lines", per_line)
+
+
+def _once(df: DataFrame, name: str, expr: str) -> DataFrame:
+    """``df`` with a column that later filters and projections read and never compute again: no expression moves
+    across a generator."""
+    return df.selectExpr("*", f"inline(array(named_struct('{name}', {expr})))")
 
 
 def clean_lines(docs: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
@@ -57,7 +63,7 @@ def clean_lines(docs: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
 
 def _measured(docs: DataFrame) -> DataFrame:
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").cast("string").alias("text"))
-    kept = judged(row).withColumn("__kept", F.expr("transform(filter(__lines, x -> x.code = 0), x -> x.line)"))
+    kept = _once(judged(row), "__kept", "transform(filter(__lines, x -> x.code = 0), x -> x.line)")
     return kept.selectExpr(
         "__row", "__lines", "__kept", "array_join(__kept, '\\n') AS __text",
         "aggregate(__kept, 0L, (a, x) -> a + length(x)) AS kept_chars",
