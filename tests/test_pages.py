@@ -166,6 +166,78 @@ def test_ladder(spark):
     assert got["4"]["method"] == "llm" and got["4"]["source"] == "llm-unvalidated"
 
 
+def counting(path, reply):
+    """A model that leaves a line in a file for each call."""
+
+    def answer(prompt, model):
+        with open(path, "a") as f:
+            f.write(prompt[:20].replace("\n", " ") + "\n")
+        return reply
+
+    return answer
+
+
+def calls(path):
+    return len(path.read_text().splitlines()) if path.exists() else 0
+
+
+WIDGET = "<h1 class=t>Green Widget</h1><b class=cost>12 EUR</b>"
+REPLY = 'Here: {"name": "Green Widget", "price": "12 EUR"}\nSELECTORS: {"name": "h1.t", "price": ".cost", "x": ".none"}'
+
+
+def test_the_model_is_asked_once_for_each_row_left(spark, tmp_path):
+    pages = spark.createDataFrame([(f"http://a.com/p/{k}", LD if k % 4 == 0 else "<p>x", f"page {k}") for k in range(100)], "url string, html string, markdown string").repartition(5)
+    log = tmp_path / "calls"
+    got = extract.extract(pages, Item, answer=counting(log, '{"name": "n", "price": "p"}'))
+    assert {r["method"]: r["n"] for r in got.groupBy("extraction.method").agg(F.count("*").alias("n")).collect()} == {"metadata": 25, "llm": 75}
+    got.collect()
+    assert calls(log) == 75
+
+
+def test_budget_stops_calls(spark, tmp_path):
+    pages = spark.createDataFrame([(f"http://a.com/{k % 7}/{k}", "<p>x", "") for k in range(20)], "url string, html string, markdown string")
+    for n, (most, cost) in enumerate([(0, None), (3, None), (None, 0.0025), (5, 0.001)]):
+        log = tmp_path / f"calls{n}"
+        got = extract.extract(pages, Item, answer=counting(log, '{"name": "n", "price": "p"}'), max_calls=most, max_cost=cost, call_cost=0.001).collect()
+        want = [0, 3, 3, 1][n]
+        assert len(got) == 20 and calls(log) == want and sum(r["extraction"]["method"] == "llm" for r in got) == want
+
+
+def test_verified_selectors_are_learned_and_used(spark, tmp_path):
+    from weftline.operators import runs
+
+    page = spark.createDataFrame([("http://a.com/p/1", WIDGET, "w")], "url string, html string, markdown string")
+    first = extract.extract(page, Item, answer=counting(tmp_path / "a", REPLY))
+    assert first.collect()[0]["extraction"]["learned"] == {"name": "h1.t", "price": ".cost"}
+    events = extract.rule_events(first, Item, 1.0)
+    rules = runs.selector_rules(events)
+    again = page.withColumn("url", F.lit("http://a.com/p/2"))
+    second = extract.extract(again, Item, rules, counting(tmp_path / "b", REPLY))
+    assert second.collect()[0]["extraction"]["method"] == "selector" and calls(tmp_path / "b") == 0
+    other = extract.extract(page.withColumn("url", F.lit("http://b.a.com/p/1")), Item, rules, counting(tmp_path / "c", REPLY))
+    assert other.collect()[0]["extraction"]["method"] == "llm" and calls(tmp_path / "c") == 1
+    for k in (2.0, 3.0, 4.0):  # the page changes: three failures evict
+        bad = extract.extract(page.withColumn("html", F.lit("<p>new")), Item, runs.selector_rules(events), counting(tmp_path / "d", '{"name": "n", "price": "p"}'))
+        events = events.unionByName(extract.rule_events(bad, Item, k))
+    assert runs.selector_rules(events).count() == 0 and calls(tmp_path / "d") == 3
+
+
+def test_selectors_that_find_something_else_are_not_learned():
+    values = {"name": "Green Widget", "price": "12 EUR", "n": 3, "items": []}
+    rules = {"name": ".cost", "price": "b", "n": "h1", "items": 'b | {"x": "i"}', "gone": "em"}
+    assert extract.verified(WIDGET, rules, values) == {"price": "b", "n": "h1"}
+    assert extract._selector_block('{"a": 1} SELECTORS: {"a": "h1", "l": {"__list__": "ul > li", "x": "b"}, "bad": 3}') == {"a": "h1", "l": 'ul > li | {"x": "b"}'}
+
+
+def test_pins(spark):
+    page = spark.createDataFrame([("http://a.com/p/1", WIDGET, "w")], "url string, html string, markdown string")
+    with pytest.raises(extract.PinError):
+        extract.extract(page, Item, answer=extract.mock_model, pin="x/y@1", provider="x", model_id="y", prompt_hash="2")
+    with pytest.raises(extract.PinError):
+        extract.extract(page, Item, strict_pin=True)
+    assert extract.extract(page, Item, pin="X/y@1", provider="x", model_id="Y", prompt_hash="1").count() == 1
+
+
 def test_one_parse_per_page(spark):
     pages = spark.createDataFrame([("http://a.com", PAGE)], "url string, html string")
     df = shape.shape(pages).select("shaped.title", "shaped.markdown", F.size("shaped.chunks"))

@@ -309,3 +309,11 @@ def select_first(root: Node, css: str) -> Node | None:
         return Selector(css).first(root)
     except ValueError:
         return None
+
+
+def select_all(root: Node, css: str) -> list[Node]:
+    """All matches in page order; none for a selector that can't be read."""
+    try:
+        return list(Selector(css).select(root))
+    except ValueError:
+        return []

@@ -4,27 +4,49 @@ from __future__ import annotations
 
 import gzip
 import tempfile
+import uuid
+import weakref
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_shared(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that ``spark.checkpoint.dir`` names; where it is unset, as in tests on one
-    machine, to a temporary one."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, as in tests on one machine, a temporary one is set."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint."""
-    ensure_shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` computed once: written as Parquet into the shared folder and read again, so that it survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of ``stored`` tables that nothing will read any more."""
+    for df in tables:
+        ref, path = _paths.pop(id(df), (None, None))
+        if ref is None or ref() is not df:
+            continue
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -38,6 +60,7 @@ def log(spark: SparkSession, path: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Archived bodies (path, html) of gzip or plain files."""
+
     @F.pandas_udf("string")
     def unpack(content: pd.Series) -> pd.Series:
         return content.map(lambda b: (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else bytes(b)).decode("utf-8", "replace"))
