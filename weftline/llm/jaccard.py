@@ -20,7 +20,7 @@ a group.  Documents with equal n-gram sets (distance 0) are joined as one.
 
 Postings travel as arrays, a row for each slice of the n-grams' hash range and some millions of postings of a task; the number of
 slices grows with the table, so that a slice holds about ``SLICE`` postings.  n-grams that many of a bounded
-sample hold go to slices by document instead, and their members are added up from these.
+sample hold go to slices by document instead; their members are added up from these in a pass of their own first.
 
 Defined cases: rows with a null doc_id take no part; texts without words are classes of their own without links; texts
 shorter than ``n`` words have one n-gram of all their words; rows that repeat a doc_id are one document when
@@ -51,8 +51,9 @@ PIVOT_GRAMS = 20_000
 SAMPLE = 2048
 COMMON = 0.01
 BUCKET = 5_000
-SLICE = 700_000
+SLICE = 1_000_000
 FLUSH = 1_000_000
+BATCH = 1 << 20
 FIRST = 8
 EPS = 1e-9
 FOUND = "a bigint, b bigint, n bigint"
@@ -122,19 +123,22 @@ class Pivots:
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """The bytes of an array, the first ones of all numbers first, which compresses better."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+    """An array's bytes, the first ones of all numbers first, compressed."""
+    data = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def _numbers(data: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 #: the copies (a document in a region) that a row's entries stand for: class, 2 * (region + 1) + member, n-grams
 COPIES = "ks binary, tags binary, sizes binary"
 POSTED = f"slice int, {COPIES}, at binary, g binary"
-HELD = f"bucket int, hot boolean, {COPIES}, at binary, n binary, s binary, w binary"
+HELD = f"bucket int, {COPIES}, at binary, n binary, s binary, w binary"
+WHOLE = "g binary, n binary, s binary"
 PROFILE = "ck bigint, k bigint, size int, core boolean, n binary, s binary, w binary"
 
 
@@ -142,11 +146,22 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+def _batches(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ``BATCH`` bytes."""
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
-    cols = list(zip(*rows)) if rows else [[] for _ in fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[x for x, _ in fields])
+    lo = held = 0
+    for i, row in enumerate(rows):
+        held += sum(len(x) for x in row if isinstance(x, bytes))
+        if held >= BATCH or i + 1 == len(rows):
+            cols = zip(*rows[lo : i + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[x for x, _ in fields])
+            lo, held = i + 1, 0
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.Table.from_batches(_batches(rows, schema), pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")]))
 
 
 def _copies(at: np.ndarray, ks: np.ndarray, tags: np.ndarray, sizes: np.ndarray) -> tuple[bytes, ...]:
@@ -172,10 +187,10 @@ def _copy_hash(k: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return mix(k.view(np.uint64) ^ mix((tag >> 1).astype(np.uint64)))
 
 
-def _poster(n: int, pivots: Pivots, common: np.ndarray, slices: int, hot_slices: int):
+def _poster(n: int, pivots: Pivots, common: np.ndarray, slices: int, hot_slices: int, only_common: bool = False):
     bounds = np.array([(i << 64) // slices for i in range(slices)], np.uint64)
 
-    def flush(copies: list[tuple[int, int, int]], cells: list[np.ndarray], hots: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(copies: list[tuple[int, int, int]], cells: list[np.ndarray], hots: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         ks, tags, sizes = (np.array(c, kind) for c, kind in zip(zip(*copies), (np.int64, np.uint32, np.uint32)))
         g, hot = np.concatenate(cells), np.concatenate(hots)
         at = np.repeat(np.arange(len(copies), dtype=np.int32), [len(c) for c in cells])
@@ -193,7 +208,7 @@ def _poster(n: int, pivots: Pivots, common: np.ndarray, slices: int, hot_slices:
         order = np.argsort(g)
         g, at = g[order], at[order]
         send(0, [*np.searchsorted(g, bounds).tolist(), len(g)], g, at)
-        return _rows(rows, POSTED)
+        return _batches(rows, POSTED)
 
     def run(batches):
         seen: set[int] = set()  # a class is posted once by a task, however many copies it meets
@@ -204,22 +219,42 @@ def _poster(n: int, pivots: Pivots, common: np.ndarray, slices: int, hot_slices:
                     continue
                 seen.add(k)
                 hot = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(len(s), bool)
-                for region, member in pivots.regions(s):
+                regions = pivots.regions(s)
+                if only_common:
+                    s, hot = s[hot], hot[hot]
+                for region, member in regions:
                     copies.append((k, 2 * (region + 1) + member, len(s)))
                     cells.append(s if region < 0 else mix(s ^ mix(np.full(1, region + 1, np.uint64))))
                     hots.append(hot)
                     held += len(s)
             if held >= FLUSH:
-                yield flush(copies, cells, hots)
+                yield from flush(copies, cells, hots)
                 copies, cells, hots, held = [], [], [], 0
         if held:
-            yield flush(copies, cells, hots)
+            yield from flush(copies, cells, hots)
 
     return run
 
 
-def _grouped(slices: int, buckets: int):
-    """A slice's postings, those of n-grams with two members or more, as entries (copy, members, cell, weight)."""
+Whole = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _members(key: tuple, table: pa.Table) -> pa.Table:
+    """Of each n-gram in a slice by documents, the members there: their number and their hashes' XOR."""
+    k, tag, _, g = _read(table, ("g", np.uint64))
+    h = _copy_hash(k, tag)
+    order = np.lexsort((h, g))
+    order = order[np.append(True, (g[order][1:] != g[order][:-1]) | (h[order][1:] != h[order][:-1]))[: len(order)]]
+    g, h = g[order], h[order]
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+    if not len(first):
+        return _table([], WHOLE)
+    return _table([(_planes(g[first]), _planes(np.diff(np.append(first, len(g))).astype(np.uint64)), _planes(np.bitwise_xor.reduceat(h, first)))], WHOLE)
+
+
+def _grouped(slices: int, buckets: int, whole: Whole):
+    """A slice's postings, those of n-grams with two members or more, as entries (copy, members, cell, weight); ``whole``:
+    n-grams in many documents, their members and cells."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         hot = key[0].as_py() >= slices
@@ -238,14 +273,14 @@ def _grouped(slices: int, buckets: int):
         if len(g):
             count = np.diff(np.append(first, len(g)))
             cell = np.bitwise_xor.reduceat(h, first)
-            if hot:  # parts of the members; their n-gram stands for the cell
-                none = b""
-                rows.append((-1, True, none, none, none, none, _planes(count.astype(np.uint64)), _planes(cell), _planes(g[first])))
-                n, s = np.zeros(len(g), np.uint64), g
+            if hot:
+                at = np.searchsorted(whole[0], g)
+                keep, n, s = whole[1][at] > 1, whole[1][at], whole[2][at]
+                n, s = n[keep], s[keep]
             else:
                 keep = np.repeat(count > 1, count)
-                k, tag, size, h = k[keep], tag[keep], size[keep], h[keep]
                 n, s = (np.repeat(x[count > 1], count[count > 1]) for x in (count.astype(np.uint64), cell))
+            k, tag, size, h = k[keep], tag[keep], size[keep], h[keep]
             order = np.lexsort((n, s, h))
             k, tag, size, h, n, s = (x[order] for x in (k, tag, size, h, n, s))
             new = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1]))[: len(h)]
@@ -260,23 +295,17 @@ def _grouped(slices: int, buckets: int):
             edges = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)[: len(h)]), len(h)).tolist()
             for lo, hi in zip(edges, edges[1:]):
                 part = order[lo:hi]
-                rows.append((int(bucket[part[0]]), hot, *_copies(copy[part], ks, tags, sizes), _planes(n[part]), _planes(s[part]), _planes(w[part])))
-        return pa.Table.from_batches([_rows(rows, HELD)])
+                rows.append((int(bucket[part[0]]), *_copies(copy[part], ks, tags, sizes), _planes(n[part]), _planes(s[part]), _planes(w[part])))
+        return _table(rows, HELD)
 
     return run
 
 
-def _profiler(t: float, whole: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """The cells of each copy of a bucket that may have a partner; ``whole``: n-grams in many documents, members, cells."""
+def _profiler(t: float):
+    """The cells of each copy of a bucket that may have a partner."""
 
     def run(table: pa.Table) -> pa.Table:
         k, tag, size, n, s, w = _read(table, ("n", np.uint64), ("s", np.uint64), ("w", np.uint32))
-        hot = n == 0
-        if hot.any():
-            at = np.searchsorted(whole[0], s[hot])
-            n[hot], s[hot] = whole[1][at], whole[2][at]
-            keep = n > 1
-            k, tag, size, n, s, w = (x[keep] for x in (k, tag, size, n, s, w))
         h = _copy_hash(k, tag)
         order = np.lexsort((s, n, h))
         k, tag, size, n, s, w, h = (x[order] for x in (k, tag, size, n, s, w, h))
@@ -291,7 +320,7 @@ def _profiler(t: float, whole: tuple[np.ndarray, np.ndarray, np.ndarray]):
         for a, b in zip(*(x[total >= np.ceil(t * size[lo] - EPS)].tolist() for x in (lo, hi))):
             member = int(tag[a]) & 1
             rows.append((int(h[a : a + 1].view(np.int64)[0]) & ~1 | member, int(k[a]), int(size[a]), bool(member), n[a:b].tobytes(), s[a:b].tobytes(), w[a:b].tobytes()))
-        return pa.Table.from_batches([_rows(rows, PROFILE)])
+        return _table(rows, PROFILE)
 
     return run
 
@@ -316,19 +345,21 @@ def _profiles(texts: DataFrame, classes: DataFrame, n: int, t: float, pivots: in
     chosen, common, share = _sampled(texts, classes, n, t, pivots)
     total = classes.agg(F.sum("size")).first()[0] or 0
     slices, hot_slices = max(1, math.ceil(total / SLICE)), max(1, math.ceil(2 * share * total / SLICE))
-    posted = texts.mapInArrow(_poster(n, chosen, common, slices, hot_slices), POSTED)
+    whole = (np.zeros(0, np.uint64),) * 3
+    if len(common):
+        some = texts.mapInArrow(_poster(n, chosen, common, slices, hot_slices, only_common=True), POSTED)
+        # as many numbers as there are common n-grams and regions that hold them, for each slice by documents
+        parts = some.groupBy("slice").applyInArrow(_members, WHOLE).toArrow().to_pylist()
+        gram, count, cell = (np.concatenate([whole[0], *(_numbers(x[c], np.uint64) for x in parts)]) for c in ("g", "n", "s"))
+        order = np.argsort(gram, kind="stable")
+        first = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])[: len(gram)])
+        if len(first):
+            whole = gram[order][first], np.add.reduceat(count[order], first), np.bitwise_xor.reduceat(cell[order], first)
     buckets = max(1, math.ceil(slices / 2))
-    held = written(posted.groupBy("slice").applyInArrow(_grouped(slices, buckets), HELD), "held")
-    # as many numbers as there are common n-grams and regions that hold them, whatever the table's size
-    parts = held.where("bucket < 0").select("n", "s", "w").toArrow().to_pylist() if len(common) else []
-    count, cell, gram = (np.concatenate([np.zeros(0, np.uint64), *(_numbers(x[c], np.uint64) for x in parts)]) for c in ("n", "s", "w"))
-    order = np.argsort(gram, kind="stable")
-    first = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])[: len(gram)])
-    whole = (gram[order][first], np.add.reduceat(count[order], first), np.bitwise_xor.reduceat(cell[order], first)) if len(gram) else (gram, count, cell)
-    mine = held.where("bucket >= 0").groupBy("bucket").applyInArrow(_profiler(t, whole), PROFILE)
-    out = written(mine.hint("merge").join(classes.select("k", "mult"), "k").select(*_names(PROFILE), "mult"), "profiles")
-    drop(held)
-    return out
+    posted = texts.mapInArrow(_poster(n, chosen, common, slices, hot_slices), POSTED)
+    held = posted.groupBy("slice").applyInArrow(_grouped(slices, buckets, whole), HELD)
+    mine = held.groupBy("bucket").applyInArrow(_profiler(t), PROFILE)
+    return written(mine.hint("merge").join(classes.select("k", "mult"), "k").select(*_names(PROFILE), "mult"), "profiles")
 
 
 def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
