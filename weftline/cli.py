@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "watch-remove":
         # an append-only log: the newest row of an id counts, and a disabled one is removed
         gone = state.log(spark, a.watches).where(F.col("url") == a.url).withColumn("enabled", F.lit(False)).withColumn("created_at", F.col("created_at") + 1)
-        state.append(state.checkpointed(gone), a.watches)
+        state.append(state.stored(gone, "watches"), a.watches)
     elif a.command == "watch-due":
         runs.watch_due(state.log(spark, a.watches), F.lit(float(a.now))).show(a.limit, truncate=False)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import logging
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
@@ -13,13 +14,21 @@ from pyspark.sql import functions as F
 from weftline.functions import policy, shaping, urls
 from weftline.functions.htmltree import parse
 from weftline.functions.lazy import arrow_udf
-from weftline.sources.state import checkpointed
+from weftline.sources.state import discard, stored
+
+
+_log = logging.getLogger(__name__)
 
 
 def dedup_first(pages: DataFrame, order: str) -> DataFrame:
-    """First row, by ``order``, of each normalised URL.  One shuffle with partial aggregation."""
-    row = F.struct(F.col(order).alias("_o"), F.struct(*pages.columns).alias("_r"))
-    return pages.groupBy(urls.normalize(F.col("url")).alias("normalized_url")).agg(F.min(row).alias("m")).select("normalized_url", "m._r.*")
+    """First row, by ``order``, of each normalised URL.
+
+    Only keys are aggregated: the first ``order`` of each URL, then a semi join by it takes the rows, so that no page body is
+    held in a buffer.  Rows that are equal in URL and ``order`` count as one.
+    """
+    first = pages.select(urls.normalize(F.col("url")).alias("normalized_url"), F.col(order).alias("_first")).groupBy("normalized_url").agg(F.min("_first").alias("_first"))
+    keyed = pages.withColumn("_n", urls.normalize(F.col("url")))
+    return keyed.join(first, keyed["_n"].eqNullSafe(first["normalized_url"]) & keyed[order].eqNullSafe(first["_first"])).select("normalized_url", *[keyed[c] for c in pages.columns]).dropDuplicates(["normalized_url"])
 
 
 def unseen(found: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,21 +66,23 @@ def _edges(pages: DataFrame) -> DataFrame:
     return hop.unionByName(nxt).groupBy("parent", "url").agg(F.min("step").alias("step"))
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, same_host: bool = True, max_pages: int | None = None, sitemap: DataFrame | None = None) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, same_host: bool = True, max_pages: int | None = None, sitemap: DataFrame | None = None, on_level: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """The crawl's queue (url, depth, parent_url, status) over a table of pages that stands for the fetches.
 
     A level is one job: frontier joined to the edges, less what was seen.  rel=next links keep their parent's
-    depth.  Each level is written to the shared folder, so its lineage stays short and survives lost
-    executors.  ``status`` is done for pages in the table, else failed.  ``max_pages`` keeps the first in
-    (depth, url) order.
+    depth.  Each level is written once to the shared folder and never again: what was seen is the union of the levels, so
+    the lineage stays short and survives lost executors.  ``status`` is done for pages in the table, else failed.
+    ``max_pages`` keeps the first in (depth, url) order.
     """
-    edges = checkpointed(_edges(pages))
+    edges = stored(_edges(pages), "edges")
     start = seeds.select("url") if sitemap is None else seeds.select("url").unionByName(sitemap.select("url"))
     front = start.select(urls.normalize(F.col("url")).alias("url")).where("url IS NOT NULL").distinct()
     if same_host:
         front = in_scope(front, seeds)
-    seen = checkpointed(front.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url")))
-    front, depth = seen, 0
+    front = stored(front.select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url")), "level")
+    levels = [front]
+    if on_level is not None:
+        on_level(0, front)
     while True:
         # links of the level, then rel=next chains inside it
         step = front.join(edges.withColumnRenamed("parent", "_p").withColumnRenamed("url", "_u"), F.col("url") == F.col("_p")).select(F.col("_u").alias("url"), (F.col("depth") + F.col("step")).alias("depth"), F.col("_p").alias("parent_url"))
@@ -79,11 +90,19 @@ def crawl(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, same_host: boo
         if same_host:
             step = in_scope(step, seeds)
         new = step.groupBy("url").agg(F.min(F.struct("depth", "parent_url")).alias("m")).select("url", "m.*")
-        new = checkpointed(new.join(seen.select("url"), "url", "left_anti"))
+        for level in levels:
+            new = new.join(level.select("url"), "url", "left_anti")
+        new = stored(new, "level")
         if new.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(new))
-        front, depth = new, depth + 1
+        if on_level is not None:
+            on_level(len(levels), new)
+        levels.append(new)
+        front = new
+    discard(edges)
+    seen = levels[0]
+    for level in levels[1:]:
+        seen = seen.unionByName(level)
     known = pages.select(urls.normalize(F.col("url")).alias("url")).distinct().withColumn("_k", F.lit(True))
     out = seen.join(known, "url", "left").select("url", "depth", "parent_url", F.when(F.col("_k"), "done").otherwise("failed").alias("status"))
     return out if max_pages is None else out.orderBy("depth", "url").limit(max_pages)
@@ -119,11 +138,11 @@ def _sitemap(body: pd.Series) -> pd.DataFrame:
 
 def sitemap_urls(files: DataFrame, roots: DataFrame, max_urls: int = 5000, max_sitemaps: int = 50) -> DataFrame:
     """URLs of the site maps at ``roots`` (url), following indexes, from a table of files (url, body); gzip is unpacked."""
-    read = checkpointed(files.select("url", _sitemap(F.col("body").cast("binary")).alias("s")).select("url", "s.*"))
+    read = stored(files.select("url", _sitemap(F.col("body").cast("binary")).alias("s")).select("url", "s.*"), "sitemaps")
     todo, seen = roots.select("url").distinct(), roots.select("url").limit(0)
     got, used = roots.select("url").limit(0), 0
     while used < max_sitemaps:
-        todo = checkpointed(todo.join(seen, "url", "left_anti").orderBy("url").limit(max_sitemaps - used))
+        todo = stored(todo.join(seen, "url", "left_anti").orderBy("url").limit(max_sitemaps - used), "sitemaps")
         n = todo.count()
         if not n:
             break
@@ -143,11 +162,14 @@ def robots_gate(requests: DataFrame, robots: DataFrame, agent: str = "*") -> Dat
     return checked.withColumn("allowed", F.col("_r.allowed")).withColumn("crawl_delay", F.col("_r.delay")).select(*requests.columns, "allowed", "crawl_delay")
 
 
-def crawl_levels(pages: DataFrame, seeds: DataFrame, max_depth: int, on_level: Callable[[int, DataFrame], None]) -> None:
-    """A crawl handed on level by level; errors of ``on_level`` don't stop it."""
-    queue = checkpointed(crawl(pages, seeds, max_depth))
-    for depth in range(max_depth + 1):
+def crawl_levels(pages: DataFrame, seeds: DataFrame, max_depth: int, on_level: Callable[[int, DataFrame], None], **options) -> DataFrame:
+    """A crawl whose levels (number, url, depth, parent_url) are handed on while it runs; errors of ``on_level`` are logged and
+    don't stop it.  Returns the queue."""
+
+    def handed(number: int, level: DataFrame) -> None:
         try:
-            on_level(depth, queue.where(F.col("depth") == depth))
+            on_level(number, level)
         except Exception:
-            continue
+            _log.exception("level %d", number)
+
+    return crawl(pages, seeds, max_depth, on_level=handed, **options)
