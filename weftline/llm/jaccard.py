@@ -388,14 +388,14 @@ def _prefixes(t: float):
     """Postings of the documents in cells from which on enough weight is left."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part.slice(lo, 500) for part in batches for lo in range(0, part.num_rows, 500)):
             off, n, s, w = _lists(batch)
             left = _left(off, w)
             row = np.repeat(np.arange(len(off) - 1), np.diff(off))
             size = batch.column("size").to_numpy(zero_copy_only=False)
             at = np.flatnonzero(left >= np.ceil(t * size[row] - EPS))
             first = [s[np.minimum(off[:-1] + i, off[1:] - 1)][row[at]] if len(s) else s for i in range(FIRST)]
-            cols = batch.take(pa.array(row[at]))
+            cols = batch.select(["ck", "size", "core"]).take(pa.array(row[at]))
             first = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(first, 1).ravel()), FIRST).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(n[at].astype(np.int64)), cols.column("ck"), cols.column("size"), pa.array(left[at]), cols.column("core"), first], names=["s", "n", "ck", "size", "rest", "core", "e"])
 
