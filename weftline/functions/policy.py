@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import ipaddress
 import re
 from collections.abc import Iterator
@@ -48,16 +49,27 @@ def pii_values(text: Column, kind: str) -> Column:
     return F.filter(found, luhn) if kind == "credit_card" else found
 
 
+def pii_summary(text: Column) -> Column:
+    """struct<kinds: sorted kinds that occur, n_hits>.  Each pattern runs once, and only on texts that hold what it needs."""
+    digits = text.rlike("[0-9]{2}") | text.rlike("[0-9][^0-9]{1,8}[0-9]")
+    held = {k: F.contains(text, F.lit("@")) if k == "email" else digits for k in PII}
+    counts = F.struct(*[F.when(held[k], F.size(pii_values(text, k))).otherwise(0).alias(k) for k in PII])
+
+    def summary(n: Column) -> Column:
+        kinds = F.array_sort(F.filter(F.array(*[F.when(n[k] > 0, F.lit(k)) for k in PII]), lambda k: k.isNotNull()))
+        return F.struct(kinds.alias("kinds"), functools.reduce(lambda a, b: a + b, [n[k] for k in PII]).alias("n_hits"))
+
+    # a lambda's variable is computed once, whatever reads it
+    return F.transform(F.array(counts), summary)[0]
+
+
 def pii_kinds(text: Column) -> Column:
     """Sorted kinds that occur."""
-    return F.array_sort(F.filter(F.array(*[F.when(F.size(pii_values(text, k)) > 0, F.lit(k)) for k in PII]), lambda k: k.isNotNull()))
+    return pii_summary(text)["kinds"]
 
 
 def pii_count(text: Column) -> Column:
-    out = F.lit(0)
-    for k in PII:
-        out = out + F.greatest(F.size(pii_values(text, k)), F.lit(0))
-    return out
+    return pii_summary(text)["n_hits"]
 
 
 _COMPILED = {k: re.compile(p, re.A if k != "email" else 0) for k, p in PII.items()}

@@ -72,6 +72,11 @@ def should_escalate(html: Column, status: Column, tier: Column, not_modified: Co
     return F.when(same, False).when(bad, True).when(raw, False).otherwise(is_thin(text) | ((tier < 2) & is_shell(text)))
 
 
+def escalation_path(start: Column, most: Column) -> Column:
+    """The tiers to try, in order, from ``start`` to the budget's dearest; none if that is below the start."""
+    return F.when(most < start, F.array().cast("array<int>")).otherwise(F.sequence(start.cast("int"), F.least(most, F.lit(len(TIERS) - 1)).cast("int")))
+
+
 def tier_label(tier: Column) -> Column:
     out = F.when(tier == 0, TIERS[0])
     for i, name in enumerate(TIERS[1:], 1):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.state import stored
+
 
 def _newest(key: str) -> Window:
     return Window.partitionBy(key).orderBy(F.desc("started_at"), F.desc("run_id"))
@@ -76,11 +78,10 @@ def diff_latest(runs: DataFrame) -> DataFrame:
     same_html compares the hashes of the unpacked bodies where ``html_hash`` is a column.
     """
     w = _newest("url")
-    two = runs.withColumn("_n", F.row_number().over(w)).where("_n <= 2")
     has_hash = "html_hash" in runs.columns
     keep = ["run_id", "url", "extraction_method", "model_pinned", "schema_version", "tier_used", "extraction_json", *(["html_hash"] if has_hash else [])]
-    b, a = two.where("_n = 1").select(*keep), two.where("_n = 2").select(*[F.col(c).alias(c if c == "url" else f"a_{c}") for c in keep])
-    pair = b.join(a, "url")
+    both = runs.select(*keep, F.row_number().over(w).alias("_n"), F.lead(F.struct(*keep)).over(w).alias("_a")).where("_n = 1 AND _a IS NOT NULL")
+    pair = both.select(*keep, *[F.col(f"_a.{c}").alias(f"a_{c}") for c in keep if c != "url"])
     parse = lambda c: F.from_json(F.coalesce(F.get_json_object(c, "$.data"), F.col(c)), "map<string,string>")
     pair = pair.withColumn("_x", F.coalesce(parse("a_extraction_json"), F.create_map().cast("map<string,string>"))).withColumn("_y", F.coalesce(parse("extraction_json"), F.create_map().cast("map<string,string>")))
     every = F.array_sort(F.array_union(F.map_keys("_x"), F.map_keys("_y")))
@@ -109,8 +110,20 @@ def merged_headers(prior: Column, fresh: Column) -> Column:
 
 def budget_prefix(rows: DataFrame, order: list[str], cost: str, cap: float, per: str | None = None) -> DataFrame:
     """Rows, in order, up to the one at which the running cost reaches ``cap``; that row is still in."""
-    w = (Window.partitionBy(per) if per else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("spent_before", F.coalesce(F.sum(cost).over(w), F.lit(0.0))).where(F.col("spent_before") < cap)
+    if per:
+        w = Window.partitionBy(per).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("spent_before", F.coalesce(F.sum(cost).over(w), F.lit(0.0))).where(F.col("spent_before") < cap)
+    # over all rows: ranges in order, each summed alone; a number per range is what goes before it
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_place", F.spark_partition_id()), "ranges")
+    sums = sorted((r["_place"], r["s"] or 0.0) for r in ranged.groupBy("_place").agg(F.sum(cost).alias("s")).collect())
+    before, total = [], 0.0
+    for place, s in sums:
+        before.append((place, float(total)))
+        total += float(s)
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "_place int, _before double"))
+    w = Window.partitionBy("_place").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.join(offsets.where(F.col("_before") < cap), "_place")
+    return ranged.withColumn("spent_before", F.col("_before") + F.coalesce(F.sum(cost).over(w), F.lit(0.0))).where(F.col("spent_before") < cap).select(*rows.columns, "spent_before")
 
 
 def pinned(runs: DataFrame, provider: str, model: str, prompt_hash: str) -> Column:
@@ -122,6 +135,14 @@ def pinned(runs: DataFrame, provider: str, model: str, prompt_hash: str) -> Colu
 # --- keyed state as event logs
 
 
+def claim(queue: DataFrame, n: int, now: float) -> DataFrame:
+    """The queue with its first ``n`` pending rows, by id, in flight: first in, first out."""
+    first = queue.where("status = 'pending'").orderBy("id").limit(n).select("id", F.lit(True).alias("_mine"))
+    mine = F.col("_mine").isNotNull()
+    q = queue.join(first, "id", "left")
+    return q.withColumns({"status": F.when(mine, "in_flight").otherwise(F.col("status")), "attempts": F.col("attempts") + mine.cast("int"), "claimed_at": F.when(mine, F.lit(now)).otherwise(F.col("claimed_at"))}).select(*queue.columns)
+
+
 def queue_state(events: DataFrame, max_attempts: int = 2) -> DataFrame:
     """Queue rows from (crawl_id, url, event, at): enqueue, claim, complete, fail.  A failure goes back to pending
     while attempts are left; a claim without an end counts as in flight."""

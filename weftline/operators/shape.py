@@ -74,10 +74,11 @@ def chunk_rows(pages: DataFrame, **options) -> DataFrame:
 
 
 def distinct_chunks(chunks: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
-    """First chunk of each hash: over all documents, or within the columns named."""
-    first = F.min(F.struct("url", "pos"))
-    keep = chunks.groupBy(*within, "chunk_hash").agg(first.alias("f")).select(F.col("f.url").alias("url"), F.col("f.pos").alias("pos")).distinct()
-    return chunks.join(keep, ["url", "pos"], "left_semi").dropDuplicates([*within, "chunk_hash"])
+    """First chunk, by URL and position, of each hash: over all documents, or within the columns named.  One pass over the
+    chunks and one shuffle; of chunks equal in both the least row counts."""
+    rest = [c for c in chunks.columns if c not in ("url", "pos")]
+    first = chunks.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*within, "chunk_hash"))]).agg(F.min(F.struct("url", "pos", *rest)).alias("f"))
+    return first.select(*[F.col(f"f.{c}").alias(c) for c in chunks.columns])
 
 
 def token_estimate(chunks: Column) -> Column:

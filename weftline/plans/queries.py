@@ -95,11 +95,6 @@ def fetch_guard(spark, d):
     return _t(spark, d, "pages").select("page_id", policy.fetchable(F.col("url")).alias("fetchable"))
 
 
-@query()
-def source_rewrite(spark, d):
-    return _t(spark, d, "pages").select("page_id", urls.source_rewrite(F.concat(F.lit("https://fr.m.wikipedia.org/wiki/Page_"), F.col("page_id"))).alias("api_url"))
-
-
 # --- signals
 
 _BARE = r"""trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))"""
@@ -155,28 +150,6 @@ def chunk_dedup(spark, d):
     return shape.distinct_chunks(shape.chunk_rows(_t(spark, d, "pages"))).select("url", "pos", "chunk_hash")
 
 
-@query()
-def page_links(spark, d):
-    return frontier.links(_t(spark, d, "pages"))
-
-
-def _seeds(pages: DataFrame) -> DataFrame:
-    """The first URL of each host."""
-    return pages.groupBy(urls.canonical_host(F.col("url"))).agg(F.min("url").alias("url")).select("url")
-
-
-@query()
-def map_site(spark, d):
-    pages = _t(spark, d, "pages")
-    return frontier.map_site(pages, _seeds(pages), max_urls=None)  # seeds of every host: a cap would drop whole hosts
-
-
-@query()
-def crawl(spark, d):
-    pages = _t(spark, d, "pages")
-    return frontier.crawl(pages, _seeds(pages), max_depth=2)
-
-
 @query()
 def scrape(spark, d):
     return api.scrape(_t(spark, d, "pages"), redact=True).drop("chunks", "extraction", "links")
@@ -192,11 +165,6 @@ def pii_scan(spark, d):
     return _t(spark, d, "documents").select("doc_id", *[policy.pii_values(F.col("text"), k).alias(k) for k in _ASCII_PII])
 
 
-@query()
-def pii_kinds(spark, d):
-    return _t(spark, d, "documents").select("doc_id", policy.pii_kinds(F.col("text")).alias("kinds"), policy.pii_count(F.col("text")).alias("n_hits"))
-
-
 @query()
 def pii_redact(spark, d):
     return _t(spark, d, "documents").select("doc_id", policy.redact(F.col("text")).alias("text"))
