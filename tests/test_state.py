@@ -192,3 +192,54 @@ def test_registered_map_site_keeps_every_host(spark, tmp_path):
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r["url"] for r in queries.map_site(spark, str(tmp_path)).collect()}
     assert len(got) == 5102 and "http://z.com/" in got
+
+
+def test_claims_are_first_in_first_out(spark):
+    q = spark.createDataFrame([(3, "pending", 0, None), (1, "done", 1, 1.0), (2, "pending", 1, None), (4, "pending", 0, None), (5, None, None, None)], "id bigint, status string, attempts int, claimed_at double")
+    got = {r["id"]: (r["status"], r["attempts"], r["claimed_at"]) for r in runs.claim(q, 2, 9.0).collect()}
+    assert got == {1: ("done", 1, 1.0), 2: ("in_flight", 2, 9.0), 3: ("in_flight", 1, 9.0), 4: ("pending", 0, None), 5: (None, None, None)}
+    assert runs.claim(q.limit(0), 2, 9.0).count() == 0 and runs.claim(q, 0, 9.0).where("status = 'in_flight'").count() == 0
+
+
+def test_tiers(spark):
+    body = "<p>" + "many words of a good page " * 20
+    tries = spark.createDataFrame([("a", 0, "", 403), ("a", 1, body, 200), ("a", 2, body, 200), ("b", 0, "", 500), ("b", 2, None, 403)], "url string, tier int, html string, status int")
+    assert {r["url"]: (r["tier"], r["tried"]) for r in api.chosen_tier(tries).collect()} == {"a": (1, 2), "b": (2, 2)}
+    path = lambda a, b: spark.range(1).select(signals.escalation_path(F.lit(a), F.lit(b)).alias("p")).first()["p"]
+    assert path(0, 2) == [0, 1, 2] and path(3, 9) == [3, 4] and path(2, 1) == []
+
+
+def test_budget_over_all_rows(spark):
+    rows = spark.createDataFrame([(k, 1.0 if k % 3 else None) for k in range(200)], "k int, cost double").repartition(7)
+    got = sorted((r["k"], r["spent_before"]) for r in runs.budget_prefix(rows, ["k"], "cost", 20.0).collect())
+    want, spent = [], 0.0
+    for k in range(200):
+        if spent < 20:
+            want.append((k, spent))
+        spent += 1.0 if k % 3 else 0.0
+    assert got == want and runs.budget_prefix(rows.limit(0), ["k"], "cost", 20.0).count() == 0
+
+
+def test_field_changes_in_the_stream(spark, tmp_path):
+    src, kind = str(tmp_path / "in"), "url string, html string, at double, run_id string, not_modified boolean, data string"
+    rows = [("u", "a", 1.0, "1", False, '{"price": "1", "name": "n"}'), ("u", "a", 2.0, "2", False, '{"price": "2", "name": "n"}'), ("u", "a", 3.0, "3", False, '{"price": "2", "name": "n", "gone": null}'), ("u", None, 4.0, "4", True, None), ("u", "b", 5.0, "5", False, "not json")]
+    spark.createDataFrame(rows, kind).write.parquet(src)
+    seen = {}
+    feed = watch.changes(watch.page_stream(spark, src, kind))
+    watch.on_change(feed, lambda df, n: seen.update({r["run_id"]: [tuple(f) for f in r["field_changes"]] for r in df.collect()}), str(tmp_path / "ck")).awaitTermination(120)
+    assert seen == {"2": [("price", "1", "2")], "5": [("name", "n", None), ("price", "2", None)]}
+    batch = watch.batch_changes(spark.createDataFrame(rows[:3], kind)).where("changed").collect()
+    assert [(r["run_id"], [tuple(f) for f in r["field_changes"]]) for r in batch] == [("2", [("price", "1", "2")])]
+
+
+def test_levels_are_handed_on_and_errors_do_not_stop_the_crawl(spark):
+    link = lambda *to: "".join(f'<a href="{t}">x</a>' for t in to)
+    pages = spark.createDataFrame([("http://a.com/", link("/1", "/2")), ("http://a.com/1", link("/3")), ("http://a.com/3", "")], "url string, html string")
+    seen = []
+
+    def on_level(number, level):
+        seen.append((number, sorted(r["url"] for r in level.collect())))
+        raise ValueError
+
+    queue = frontier.crawl_levels(pages, pages.where("url = 'http://a.com/'"), 2, on_level)
+    assert seen == [(0, ["http://a.com/"]), (1, ["http://a.com/1", "http://a.com/2"]), (2, ["http://a.com/3"])] and queue.count() == 4

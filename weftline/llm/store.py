@@ -1,46 +1,9 @@
-"""Shared-folder checkpoints: results cut from their lineage, in the folder all executors share."""
+"""Shared-folder tables: results cut from their lineage, in the folder all executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
+from weftline.sources.state import discard as drop
+from weftline.sources.state import shared_dir
+from weftline.sources.state import stored as written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests on one machine) a temporary one is set."""
-    sc = spark.sparkContext
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read again; survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (weakref.ref(out), path)
-    return out
-
-
-_paths: dict[int, tuple[weakref.ref, str]] = {}
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes the files of ``written`` tables that nothing will read any more."""
-    for df in tables:
-        ref, path = _paths.pop(id(df), (None, None))
-        if ref is None or ref() is not df:
-            continue
-        sc = df.sparkSession.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["drop", "shared_dir", "written"]
