@@ -137,6 +137,25 @@ def test_join_is_exact_whatever_is_common(spark, monkeypatch, shared, hot, block
     assert links(jaccard.jaccard_join(docs(spark, rows), hot=hot, block=block, pivots=pivots)) == brute_links(rows)
 
 
+def shuffled(spark):
+    """Bytes that each stage so far wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, *(getattr(store, f"stageList$default${k}")() for k in range(2, 6)))
+    return {x.stageId(): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_join_sends_little_of_texts_without_partners(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE", 16)
+    monkeypatch.setattr(jaccard, "SLICE", 4_000)
+    rng = random.Random(1)
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))) for k in range(1000)]
+    rows += [(2000 + k, x + " and more") for k, x in rows[:20]]
+    before = shuffled(spark)
+    got = links(jaccard.jaccard_join(docs(spark, rows)))
+    assert {i: x for i, x in got.items() if x != (i, 0)} == {i: (k, 1) for k in range(20) for i in (k, 2000 + k)}
+    assert sum(n for k, n in shuffled(spark).items() if k not in before) < 6 * sum(len(x.split()) - 2 for _, x in rows)
+
+
 def test_deduplication(spark):
     rows = copies(5)
     want = brute_links(rows)

@@ -18,6 +18,12 @@ one, so it is counted once.  All tests are exact: weights are summed over all n-
 Links are counted where they are found; only counts and the edges of spanning trees leave a task, never all pairs of
 a group.  Documents with equal n-gram sets (distance 0) are joined as one.
 
+Sieve.  Before that, all documents count how many of their n-grams others may hold, from ``SPARE`` bits more of each n-gram's
+hash than there are bits in the number of postings.  No linked document is lost, as equal n-grams always look alike; others that do,
+and copies in several tasks, only let a document pass that the exact test drops later.  Of each class that passes, the document of the
+least doc_id is posted with whole hashes and its class.  It is found again by a bitmap of at most ``WIDEST`` bits of doc_ids'
+hashes, which likewise only errs by letting more pass.
+
 Postings travel as arrays, a row for each slice of the n-grams' hash range and some millions of postings of a task; the number of
 slices grows with the table, so that a slice holds about ``SLICE`` postings.  n-grams that many of a bounded
 sample hold go to slices by document instead; their members are added up from these in a pass of their own first.
@@ -36,6 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +60,8 @@ COMMON = 0.01
 BUCKET = 5_000
 SLICE = 1_000_000
 FLUSH = 1_000_000
+SPARE = 6
+WIDEST = 1 << 28
 BATCH = 1 << 20
 FIRST = 8
 EPS = 1e-9
@@ -187,7 +196,99 @@ def _copy_hash(k: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return mix(k.view(np.uint64) ^ mix((tag >> 1).astype(np.uint64)))
 
 
-def _poster(n: int, pivots: Pivots, common: np.ndarray, slices: int, hot_slices: int, only_common: bool = False):
+#: rows -1: of a part of a task's texts, the text and the shortened hash of each posting in a slice; otherwise the part's
+#: classes, sizes and numbers of common n-grams, and in how many rows it was sent
+SENT = "slice int, part bigint, rows int, a binary, b binary, c binary"
+#: rows -1: texts of a part and how many of their postings in a slice others may have; otherwise as above
+SHARED = "part bigint, rows int, a binary, b binary, c binary"
+
+
+def _sketcher(n: int, common: np.ndarray, slices: int, bits: int):
+    """Postings by the first ``bits`` of their hash; common n-grams, known to be in several classes, are only counted."""
+    bounds = np.array([(i << bits) // slices for i in range(slices)], np.uint64)
+
+    def flush(task: int, classes: list[tuple[int, int]], cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ks, sizes = (np.array(c, kind) for c, kind in zip(zip(*classes), (np.int64, np.uint32)))
+        g, at = np.concatenate(cells), np.repeat(np.arange(len(classes), dtype=np.uint32), sizes)
+        hot = common[np.minimum(np.searchsorted(common, g), len(common) - 1)] == g if len(common) else np.zeros(len(g), bool)
+        hots = np.bincount(at[hot], minlength=len(classes)).astype(np.uint32)
+        f, at = g[~hot] >> np.uint64(64 - bits), at[~hot]
+        order = np.argsort(f)
+        f, at = f[order], at[order]
+        part = xxhash.xxh3_64_intdigest(ks.tobytes(), task) - (1 << 63)
+        edges = [*np.searchsorted(f, bounds).tolist(), len(f)]
+        rows = [(i, part, -1, _planes(at[lo:hi]), _planes(np.diff(f[lo:hi], prepend=bounds[i]).astype(np.uint32)), b"") for i, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+        rows.append((part % slices, part, len(rows), _planes(ks), _planes(sizes), _planes(hots)))
+        return _batches(rows, SENT)
+
+    def run(batches):
+        seen: set[int] = set()
+        classes, cells, held, task = [], [], 0, TaskContext.get().partitionId()
+        for _, sets in _sets(n, batches):
+            for s in sets:
+                if not len(s) or (k := _key(s)) in seen:
+                    continue
+                seen.add(k)
+                classes.append((k, len(s)))
+                cells.append(s)
+                held += len(s)
+            if held >= FLUSH:
+                yield from flush(task, classes, cells)
+                classes, cells, held = [], [], 0
+        if held:
+            yield from flush(task, classes, cells)
+
+    return run
+
+
+def _sharing(table: pa.Table) -> pa.Table:
+    """How many postings of a slice each text of each part has that look like another's."""
+    rows, parts = [], []
+    for row in table.to_pylist():
+        if row["rows"] >= 0:
+            rows.append(tuple(row[c] for c in _names(SHARED)))
+        else:
+            parts.append((row["part"], _numbers(row["a"], np.uint32), np.cumsum(_numbers(row["b"], np.uint32), dtype=np.uint32)))
+    f = np.concatenate([np.zeros(0, np.uint32), *(x for _, _, x in parts)])
+    order = np.argsort(f, kind="stable")
+    same = f[order][1:] == f[order][:-1]
+    twice = np.zeros(len(f), bool)
+    twice[order] = (np.append(False, same) | np.append(same, False))[: len(f)]
+    lo = 0
+    for part, at, _ in parts:
+        texts, count = np.unique(at[twice[lo : lo + len(at)]], return_counts=True)
+        rows.append((part, -1, _planes(np.diff(texts, prepend=np.uint32(0))), _planes(count.astype(np.uint32)), b""))
+        lo += len(at)
+    return _table(rows, SHARED)
+
+
+def _sieved(t: float):
+    """The classes of a part that may have a partner."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sent = table.to_pylist()
+        own = [row for row in sent if row["rows"] >= 0]
+        if len(own) != 1 or own[0]["rows"] != len(sent) - 1:
+            raise RuntimeError("a task that was run again met its texts in another order; documents must come in a fixed order")
+        ks, sizes, hots = (_numbers(own[0][c], kind) for c, kind in (("a", np.int64), ("b", np.uint32), ("c", np.uint32)))
+        count = hots.astype(np.int64)
+        for row in sent:
+            if row["rows"] < 0:
+                count[np.cumsum(_numbers(row["a"], np.uint32))] += _numbers(row["b"], np.uint32)
+        on = count >= np.ceil(t * sizes - EPS)
+        return pa.table({"k": ks[on], "hot": hots[on].astype(np.int64)})
+
+    return run
+
+
+def _passing(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose third column's bit is set."""
+    for batch in batches:
+        at = batch.column(2).to_numpy()
+        yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+
+def _poster(n: int, bits: np.ndarray, pivots: Pivots, common: np.ndarray, slices: int, hot_slices: int, only_common: bool = False):
     bounds = np.array([(i << 64) // slices for i in range(slices)], np.uint64)
 
     def flush(copies: list[tuple[int, int, int]], cells: list[np.ndarray], hots: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +314,7 @@ def _poster(n: int, pivots: Pivots, common: np.ndarray, slices: int, hot_slices:
     def run(batches):
         seen: set[int] = set()  # a class is posted once by a task, however many copies it meets
         copies, cells, hots, held = [], [], [], 0
-        for _, sets in _sets(n, batches):
+        for _, sets in _sets(n, _passing(bits, batches)):
             for s in sets:
                 if not len(s) or (k := _key(s)) in seen:
                     continue
@@ -325,29 +426,47 @@ def _profiler(t: float):
     return run
 
 
-def _sampled(texts: DataFrame, classes: DataFrame, n: int, t: float, pivots: int) -> tuple[Pivots, np.ndarray, float]:
-    """The pivots, the n-grams that at least ``COMMON`` of ``SAMPLE`` classes, those of the least hash, hold, and the share
-    that these have of all postings of the sample."""
+def _sampled(texts: DataFrame, classes: DataFrame, n: int, t: float, pivots: int) -> tuple[Pivots, np.ndarray]:
+    """The pivots, and the n-grams that at least two, and ``COMMON`` of ``SAMPLE`` classes, those of the least hash, hold."""
     ids = classes.where(f"size <= {PIVOT_GRAMS}").orderBy("k").limit(SAMPLE).select(F.col("rep").alias("id"))
     sets = written(texts.join(F.broadcast(ids), "id").mapInArrow(_setter(n), "k bigint, grams array<bigint>").dropDuplicates(["k"]), "sample")
     chosen = sets.orderBy("k").limit(min(pivots, 64)).toArrow()["grams"].to_pylist()
     every = sets.select(F.explode("grams").alias("g")).groupBy("g").count()
-    common = every.where(F.col("count") > COMMON * SAMPLE).toArrow()
-    posted = every.agg(F.sum("count")).first()[0] or 1
+    common = every.where(F.col("count") > max(1, COMMON * SAMPLE)).toArrow()
     drop(sets)
     g = common["g"].to_numpy().view(np.uint64)
-    return Pivots([np.array(s, np.int64).view(np.uint64) for s in chosen if s], t), np.sort(g), float(common["count"].to_numpy().sum() / posted)
+    return Pivots([np.array(s, np.int64).view(np.uint64) for s in chosen if s], t), np.sort(g)
+
+
+def _sieve(texts: DataFrame, classes: DataFrame, n: int, t: float, common: np.ndarray) -> tuple[DataFrame, np.ndarray, int, int]:
+    """The texts with their bits' numbers, the bitmap that one text of each class that may have a partner passes, and the
+    numbers of n-grams and of common ones that these classes hold."""
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    slices, bits = max(1, math.ceil(total / SLICE)), min(63, SPARE + total.bit_length())
+    sent = texts.mapInArrow(_sketcher(n, common, slices, bits), SENT)
+    shared = sent.groupBy("slice").applyInArrow(_sharing, SHARED)
+    passed = shared.groupBy("part").applyInArrow(_sieved(t), "k bigint, hot bigint").groupBy("k").agg(F.max("hot").alias("hot"))
+    passed = written(passed.hint("merge").join(classes, "k").select("rep", "size", "hot"), "passed")
+    count, grams, hot = passed.agg(F.count(F.lit(1)), F.sum("size"), F.sum("hot")).first()
+    width = max(1 << 15, min(WIDEST, 1 << (16 * count).bit_length()))
+    at = passed.selectExpr(f"pmod(xxhash64(rep), {width}) AS at").selectExpr("at div 32768 AS page", "at % 32768 AS at")
+    pages = at.groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")).toArrow()
+    bitmap = np.zeros((width >> 15, 4096), np.uint8)
+    for page, own in zip(pages["page"].to_pylist(), pages["bits"].to_pylist()):
+        bitmap[page] = np.frombuffer(own, np.uint8)
+    drop(passed)
+    return texts.selectExpr("id", "text", f"pmod(xxhash64(id), {width}) AS at"), bitmap.ravel(), grams or 0, hot or 0
 
 
 def _profiles(texts: DataFrame, classes: DataFrame, n: int, t: float, pivots: int) -> DataFrame:
     """``PROFILE`` and ``mult`` of the documents, in each of their regions, that may have a partner: members, cell and weight
     of all that they share with others, rarest first."""
-    chosen, common, share = _sampled(texts, classes, n, t, pivots)
-    total = classes.agg(F.sum("size")).first()[0] or 0
-    slices, hot_slices = max(1, math.ceil(total / SLICE)), max(1, math.ceil(2 * share * total / SLICE))
+    chosen, common = _sampled(texts, classes, n, t, pivots)
+    texts, bits, total, hot = _sieve(texts, classes, n, t, common)
+    slices, hot_slices = max(1, math.ceil(total / SLICE)), max(1, math.ceil(2 * hot / SLICE))
     whole = (np.zeros(0, np.uint64),) * 3
     if len(common):
-        some = texts.mapInArrow(_poster(n, chosen, common, slices, hot_slices, only_common=True), POSTED)
+        some = texts.mapInArrow(_poster(n, bits, chosen, common, slices, hot_slices, only_common=True), POSTED)
         # as many numbers as there are common n-grams and regions that hold them, for each slice by documents
         parts = some.groupBy("slice").applyInArrow(_members, WHOLE).toArrow().to_pylist()
         gram, count, cell = (np.concatenate([whole[0], *(_numbers(x[c], np.uint64) for x in parts)]) for c in ("g", "n", "s"))
@@ -356,7 +475,7 @@ def _profiles(texts: DataFrame, classes: DataFrame, n: int, t: float, pivots: in
         if len(first):
             whole = gram[order][first], np.add.reduceat(count[order], first), np.bitwise_xor.reduceat(cell[order], first)
     buckets = max(1, math.ceil(slices / 2))
-    posted = texts.mapInArrow(_poster(n, chosen, common, slices, hot_slices), POSTED)
+    posted = texts.mapInArrow(_poster(n, bits, chosen, common, slices, hot_slices), POSTED)
     held = posted.groupBy("slice").applyInArrow(_grouped(slices, buckets, whole), HELD)
     mine = held.groupBy("bucket").applyInArrow(_profiler(t), PROFILE)
     return written(mine.hint("merge").join(classes.select("k", "mult"), "k").select(*_names(PROFILE), "mult"), "profiles")
