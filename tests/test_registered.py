@@ -17,7 +17,7 @@ def against_sql(spark, tmp_path, name, **tables):
     return sorted(got, key=repr), sorted(con.execute(registered.oracle_sql()[name]).fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", ["extract_ladder", "extract_selectors"])
+@pytest.mark.parametrize("name", ["extract_ladder", "extract_selectors", "page_title"])
 def test_references_cut_off(spark, tmp_path, name):
     page = "<html><head><title>{0}</title></head><body><article><h1>{0}</h1><p>text</p></article></body></html>"
     heads = ["a &amp; b &amp", "a &am", "a &", "a &quot", "&lt;b&gt; &quot;c&quot; &amp x", "plain"]
