@@ -1,9 +1,12 @@
 """Registered queries against their SQL, on pages that the standard tables hold few of, and in bounded memory."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as registered
+from weftline.functions import lazy
+from weftline.operators import frontier
 
 
 def against_sql(spark, tmp_path, name, **tables):
@@ -24,3 +27,16 @@ def test_references_cut_off(spark, tmp_path, name):
     pages = [(2 * k + 1, f"https://a.com/p/{k}", page.format(h)) for k, h in enumerate(heads)] + [(2, "https://a.com/none", "<html><head><title>t</title></head><body>x</body></html>")]
     got, want = against_sql(spark, tmp_path, name, pages=(pages, "page_id bigint, url string, html string"))
     assert got == want
+
+
+def test_pages_go_through_python_in_pieces(spark):
+    few = lazy.pieces((pa.array(["u"] * 300), pa.array(["<p>"] * 299 + [None])))
+    assert [len(p) for p in few] == [128, 128, 44]
+    assert [len(p) for p in lazy.pieces((pa.array(["u"] * 5), pa.array(["x" * 600_000] * 5)))] == [2, 2, 1]
+
+
+def test_links_and_next_page_of_one_parse(spark):
+    html = '<link rel="next" href="/2.pdf"><a href="/a">a</a><a href="/b.css">b</a><a href="http://10.0.0.1/">c</a><a href="/a#x">a</a>'
+    edges = frontier._edges(spark.createDataFrame([("http://h.com/", html), ("http://i.com/", None)], "url string, html string"))
+    assert {tuple(r) for r in edges.collect()} == {("http://h.com/", "http://h.com/2.pdf", 0), ("http://h.com/", "http://h.com/a", 1)}
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
