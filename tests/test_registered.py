@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as registered
 from weftline.functions import lazy
-from weftline.operators import frontier
+from weftline.operators import frontier, shape
 
 
 def against_sql(spark, tmp_path, name, **tables):
@@ -40,3 +40,10 @@ def test_links_and_next_page_of_one_parse(spark):
     edges = frontier._edges(spark.createDataFrame([("http://h.com/", html), ("http://i.com/", None)], "url string, html string"))
     assert {tuple(r) for r in edges.collect()} == {("http://h.com/", "http://h.com/2.pdf", 0), ("http://h.com/", "http://h.com/a", 1)}
     assert edges._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_shaped_pages_leave_a_batch_in_pieces(spark):
+    n = 1000
+    batch = (pa.array(["http://a.com/"] * n), pa.array(["<title>t</title><p>text"] * n), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()))
+    got = list(shape.shaper().func(iter([batch])))
+    assert max(map(len, got)) <= 128 and sum(map(len, got)) == n and {r["title"] for p in got for r in p.to_pylist()} == {"t"}
