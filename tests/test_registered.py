@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as registered
 from weftline.functions import lazy
-from weftline.operators import frontier, shape
+from weftline.operators import extract, frontier, shape
 
 
 def against_sql(spark, tmp_path, name, **tables):
@@ -47,3 +47,18 @@ def test_shaped_pages_leave_a_batch_in_pieces(spark):
     batch = (pa.array(["http://a.com/"] * n), pa.array(["<title>t</title><p>text"] * n), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()))
     got = list(shape.shaper().func(iter([batch])))
     assert max(map(len, got)) <= 128 and sum(map(len, got)) == n and {r["title"] for p in got for r in p.to_pylist()} == {"t"}
+
+
+def test_model_cost_needs_no_shuffle_by_model(spark):
+    rows = spark.createDataFrame([("a", 10, 1), ("a", 20, 2), ("b", 1, 1), (None, 1, 1)], "model_id string, input_tokens int, output_tokens int")
+    prices = spark.createDataFrame([("a", 1.0, 2.0)], "model_id string, input_usd double, output_usd double")
+    cost = extract.model_cost(rows, prices, (3.0, 4.0))
+    assert sorted(round(r["cost_usd"] * 1e6) for r in cost.collect()) == [7, 7, 12, 24]
+    assert "hashpartitioning" not in cost._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extraction_leaves_a_batch_in_pieces(spark):
+    n = 1000
+    rung = extract._rung(lambda html, rules: {"data": html, "fields": {"a": "b"}} if html else 1 / 0)
+    got = list(rung.func(iter([(pa.array(["x"] * n), pa.nulls(n, pa.map_(pa.string(), pa.string())))])))
+    assert max(map(len, got)) <= 128 and sum(map(len, got)) == n and got[0].to_pylist()[0]["fields"] == [("a", "b")]
