@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as registered
 from weftline.functions import lazy
-from weftline.operators import extract, frontier, shape
+from weftline.operators import api, extract, frontier, shape
 
 
 def against_sql(spark, tmp_path, name, **tables):
@@ -62,3 +62,12 @@ def test_extraction_leaves_a_batch_in_pieces(spark):
     rung = extract._rung(lambda html, rules: {"data": html, "fields": {"a": "b"}} if html else 1 / 0)
     got = list(rung.func(iter([(pa.array(["x"] * n), pa.nulls(n, pa.map_(pa.string(), pa.string())))])))
     assert max(map(len, got)) <= 128 and sum(map(len, got)) == n and got[0].to_pylist()[0]["fields"] == [("a", "b")]
+
+
+def test_hot_url_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(api, "HOT", 10)
+    urls = [(k, "http://gone.com/") for k in range(95)] + [(k, "http://a.com/") for k in range(95, 120)] + [(120, "http://b.com/"), (121, None)]
+    pages = spark.createDataFrame([("http://a.com/", "<h1>a</h1>" * 30), ("http://b.com/", "<h1>b</h1>" * 30)], "url string, html string")
+    got = api.batch_scrape(spark.createDataFrame(urls, "pos int, url string"), pages).select("pos", "url", "error", "title").collect()
+    title = {"http://a.com/": "a", "http://b.com/": "b"}
+    assert [tuple(r) for r in got] == [(p, u, None if u in title else "not fetched", title.get(u)) for p, u in urls]
